@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,20 +19,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROWS = 256
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read again from the shared checkpoint folder (lineage is cut).
-
-    The folder is the one in ``spark.checkpoint.dir``.  Where that is unset a temporary folder
-    serves, in local mode only: on a cluster executors don't share one.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; set here only where it is unset, and in local mode only."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="notespark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder: for small tables.
+
+    Spark removes the files when nothing refers to them, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the checkpoint folder and read again: for tables whose
+    size follows the corpus, which take a fraction of a checkpoint's space this way.
+
+    The files stay until the folder is cleaned up: they may be read as long as results are lazy.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: what the user sizes to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

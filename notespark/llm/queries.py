@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .mixing import mix_sources
 from .simhash import simhash_components
+from .substrings import remove_repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits, "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated_passages(_table(spark, sf_dir, "documents"), length=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
 }
