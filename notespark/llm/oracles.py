@@ -33,6 +33,37 @@ SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, b.source_size, b.target,
 FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
+_STRIDE, _HISTORY = 2048 - 256 - 256, 256
+
+OP3 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+n AS (
+  SELECT *, row_number() OVER w AS pos, ceil(octet_length(encode(text)) / 4.0) + 3 AS tokens,
+    row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, role, text) AS nth,
+    5 + length(replace(replace(replace(replace(role, '\\', '\\b'), '### ', '\\h'), '</turn>', '\\e'), ':', '\\c')) + 1
+      + length(replace(replace(replace(text, '\\', '\\b'), '### ', '\\h'), '</turn>', '\\e')) + 8 AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+k AS (SELECT *, floor(before / {_STRIDE}) AS win, role = 'system' AND nth = 1 AS kept FROM s),
+o AS (SELECT conv_id, win, min(before) AS opening FROM k GROUP BY ALL),
+f AS (SELECT *, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS following,
+    lead(opening) OVER (PARTITION BY conv_id ORDER BY win) AS following_opening,
+    count(*) OVER (PARTITION BY conv_id ORDER BY win DESC) - 1 AS later FROM o)
+SELECT k.conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars * (1 + CASE WHEN kept THEN later
+    WHEN following IS NOT NULL AND following_opening - before <= {_HISTORY} THEN 1 ELSE 0 END)) AS BIGINT) AS formatted_chars
+FROM k JOIN f ON k.conv_id IS NOT DISTINCT FROM f.conv_id AND k.win = f.win GROUP BY k.conv_id
+"""
+
 ORACLES = {
+    "op3_format_chats": OP3,
     "op2_mix_sources": OP2,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back
 from .mixing import mix_sources
 from .simhash import simhash_components
 from .substrings import remove_repeated_passages
@@ -19,6 +20,24 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok").alias("text")
+    added = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")),
+                              F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"))))
+    extra = spark.range(1).select(F.lit(-7).alias("conv_id"), added.alias("t")).select("conv_id", "t.turn", "t.role", said)
+    found = read_back(format_conversations(turns.unionByName(extra)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long"),
+    )
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"), shingle=3)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -32,6 +51,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_format_chats": op3_format_chats,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
 }
