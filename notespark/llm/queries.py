@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import secrets, toxicity
 from ._labels import remainder
 from .chat import format_conversations, read_back
+from .decontamination import find_leaks
 from .mixing import mix_sources
 from .simhash import simhash_components
 from .substrings import remove_repeated_passages
@@ -56,6 +57,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -89,6 +94,7 @@ QUERIES = {
     "op3_format_chats": op3_format_chats,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_secret_scans": op10_secret_scans,
 }
