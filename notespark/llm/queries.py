@@ -12,8 +12,12 @@ from .decontamination import find_leaks
 from .mixing import mix_sources
 from .simhash import simhash_components
 from .substrings import remove_repeated_passages
+from .tokencounts import count_tokens, load_vocabulary
 from .topk import top_k
 
+#: The vocabulary that op4 counts with: a public tokenizer file, read where it is.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,6 +50,10 @@ def op3_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), load_vocabulary(TOKENIZER))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"), shingle=3)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -101,6 +109,7 @@ QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_mix_sources": op2_mix_sources,
     "op3_format_chats": op3_format_chats,
+    "op4_token_counts": op4_token_counts,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
