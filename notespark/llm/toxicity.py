@@ -14,6 +14,7 @@ trained model gives each word one number, its share of the logit, which workers
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,8 +78,8 @@ def passages(n: int) -> np.ndarray:
     return np.unique(np.append(np.arange(0, last, PASSAGE // 2), last))
 
 
-def _training_passages(sample: DataFrame) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """Passages (as lists of words) of the sampled texts, the class and the number of their text."""
+def _training_passages(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Passages of the sampled texts (words joined by spaces), the class and the number of their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -93,11 +94,10 @@ def _training_passages(sample: DataFrame) -> tuple[list[list[str]], np.ndarray,
     table = sample.mapInArrow(run, "passages array<string>, label int").orderBy("passages", "label").toArrow()
     texts, labels, owners = [], [], []
     for i, (found, label) in enumerate(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)):
-        for text in found:
-            if words := text.split():
-                texts.append(words)
-                labels.append(label)
-                owners.append(i)
+        found = [text for text in found if text]
+        texts += found
+        labels += [label] * len(found)
+        owners += [i] * len(found)
     return texts, np.array(labels, dtype=np.int64), np.array(owners, dtype=np.int64)
 
 
@@ -108,17 +108,25 @@ def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class _Bags:
-    """Passages as bags of subwords."""
+    """Passages as bags of subwords, in flat arrays: the driver's memory is small."""
 
-    def __init__(self, texts: list[list[str]]):
+    def __init__(self, texts: list[str]):
         known: dict[str, int] = {}
-        self.tokens = np.array([known.setdefault(w, len(known)) for t in texts for w in t])
-        self.sizes = np.array([len(t) for t in texts])
+        tokens, sizes, grams, gram_sizes = array("i"), array("i"), array("i"), array("i")
+        for text in texts:
+            words = text.split(" ")
+            sizes.append(len(words))
+            for word in words:
+                number = known.setdefault(word, len(known))
+                if number == len(gram_sizes):
+                    buckets = subwords(word)
+                    grams.extend(buckets)
+                    gram_sizes.append(len(buckets))
+                tokens.append(number)
+        self.tokens, self.sizes = np.frombuffer(tokens, np.int32), np.array(sizes, dtype=np.int64)
+        self.grams, self.gram_sizes = np.frombuffer(grams, np.int32), np.array(gram_sizes, dtype=np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        grams = [subwords(w) for w in known]
-        self.gram_sizes = np.array([len(g) for g in grams])
         self.gram_begins = np.cumsum(self.gram_sizes) - self.gram_sizes
-        self.grams = np.concatenate([np.array(g) for g in grams])
 
     def curvature(self) -> np.ndarray:
         """Sum over the passages of each bucket's squared share."""
@@ -138,8 +146,8 @@ class _Bags:
         return np.add.reduceat(word_values[self.tokens], self.begins) / self.sizes
 
 
-def fit(texts: list[list[str]], labels: np.ndarray, owners: np.ndarray, weights: dict[int, float], seed: int = 0) -> Model:
-    """Trains embeddings and linear layer together on passages (lists of words).
+def fit(texts: list[str], labels: np.ndarray, owners: np.ndarray, weights: dict[int, float], seed: int = 0) -> Model:
+    """Trains embeddings and linear layer together on passages (words joined by spaces).
 
     The first epochs take every passage with its text's class; the others take of each text the
     passage that the model so far finds most toxic, which is what scores a text.  Averages are
@@ -188,7 +196,7 @@ def fit(texts: list[list[str]], labels: np.ndarray, owners: np.ndarray, weights:
     return Model(((embeddings - mean) @ direction).tolist(), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = 2000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = 1500) -> Model:
     """The model learnt from ``labels.toxic`` of rows where ``learnable`` (a condition on doc_id)
     holds, at most ``per_class`` rows of each class.
     """
