@@ -45,7 +45,7 @@ def keyword_search(fragments: DataFrame, query: str, limit: int, key: str = "fra
 
     Only fragments that hold every token count; if there are none, those that hold any.
     """
-    tokens = query_tokens(query)
+    tokens = [t for t in query_tokens(query) if t not in ("AND", "OR", "NOT")]  # an operator alone asks for nothing
     scored = bm25_scores(fragments, tokens, key, text)
     every = F.col("n_matched") == len(tokens)
     # All-word hits sort first, so the best row tells whether there are any.

@@ -201,4 +201,5 @@ ORACLES = {
       SELECT a.draft_id, a.chunk_index, min(b.chunk_index) AS parent_index FROM w a LEFT JOIN w b ON a.draft_id = b.draft_id AND length(a.title) > length(b.title) AND list_has_all(a.w, b.w) GROUP BY ALL""",
     "plan_create_child_levels": "SELECT p_partkey AS chunk_index, CASE WHEN p_partkey % 10 >= 7 THEN 0 ELSE p_partkey % 10 END AS level FROM part",
     "fetch_page": "SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 25 OFFSET 40",
+    "streaming_index": "SELECT doc_id AS note_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_fragments FROM documents",
 }

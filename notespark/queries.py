@@ -13,6 +13,7 @@ from .functions import text as tx
 from .functions.vectors import cosine, dot, norm, normalized
 from .operators import calibration, distribute, fragments, fusion, hierarchy, indexing, keyword, review, vector
 from .plans.retrieve import hybrid_search
+from .streaming.jobs import streaming_index
 
 SINGLE, SEVERAL, RARE = "heat", "heat thing", "zzqx thing"
 LINES = "concat('## ', replace(text, ' ', '  '), chr(10), chr(10), '- **bold** [label](http://x) and [[note|alias]]', chr(10), '3. item `code`')"
@@ -406,4 +407,4 @@ QUERIES = {f.__name__: f for f in (
     dedup_fragments, content_hash_dups, incremental_diff, needs_indexing, drift_stale, cache_hit_miss, cache_ttl, lang_mode, note_tree_paths,
     descendant_pairs, hierarchical_due_counts, repeat_mode_tree, due_queue, due_count, tag_closure_build, tag_autocomplete, tag_subtree_notes,
     tag_inherit_anti, tag_move_closure, hashtag_extract, json_payload, review_state_fold, plan_append_concat, heuristic_parent,
-    plan_create_child_levels, fetch_page)}
+    plan_create_child_levels, fetch_page, streaming_index)}
