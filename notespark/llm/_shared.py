@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,19 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, ROWS)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``ROWS`` rows and ``most`` bytes of text, one row at least."""
+    for part in slices(batches):
+        sizes = pc.fill_null(pc.binary_length(part.column(column)), 0).to_pylist()
+        begin, total = 0, 0
+        for i, size in enumerate(sizes):
+            if i > begin and total + size > most:
+                yield part.slice(begin, i - begin)
+                begin, total = i, 0
+            total += size
+        yield part.slice(begin)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -78,3 +94,55 @@ def with_columns(schema: str, df: DataFrame, *names: str) -> str:
     """``schema`` (DDL) preceded by the named columns of ``df`` with their own types."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join([*(f"`{n}` {types[n]}" for n in names), schema])
+
+
+_SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
+_BASE = 0xD6E8FEB86659FD93
+_PIECE = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with all bits depending on all bits."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _piece_hashes(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some bytes, and where each word begins."""
+    n = len(piece)
+    if not _powers or len(_powers[0]) < n:
+        ups, downs = (np.full(max(n, 2 * _PIECE), x, dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        ups[0] = downs[0] = 1
+        _powers[:] = np.multiply.accumulate(ups), np.multiply.accumulate(downs)
+    data = np.frombuffer(piece, dtype=np.uint8)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    values = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    values ^= values >> np.uint64(29)
+    values *= _powers[0][:n]
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * _powers[1][begins] + (ends - begins).astype(np.uint64)), begins
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts, one after the other, and the number of words before
+    each text.  A word's hash is a polynomial of its bytes, taken from prefix sums over all of them
+    at once; long texts go in pieces that end between words.
+    """
+    joined = b"\n".join(texts)
+    hashes, places, at = [], [], 0
+    while at < len(joined):
+        cut = _SEPARATOR.search(joined, at + _PIECE) if at + _PIECE < len(joined) else None
+        end = cut.start() if cut else len(joined)
+        found, begins = _piece_hashes(joined[at:end])
+        hashes.append(found)
+        places.append(begins + at)
+        at = end
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    if not hashes:
+        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), np.cumsum(sizes) - sizes)

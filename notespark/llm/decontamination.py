@@ -28,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import slices, utf8, written
+from ._shared import text_slices, utf8, word_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -42,15 +41,6 @@ BLOCKS = 8
 BLOCK_CHARS = 8 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
-_CACHED_WORDS = 300_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -102,10 +92,9 @@ class Items:
 
     def __init__(self, items: list[tuple[int | None, bytes]], similarity: float):
         self.similarity = similarity
-        cache = _WordHashes()
         by_size: dict[int, tuple[list, list]] = {}
         for item, text in items:
-            words = np.array([cache[w] for w in text.lower().split()], dtype=np.uint64)
+            words, _ = word_hashes([text.lower()])
             if len(words):
                 ids, kept = by_size.setdefault(len(words), ([], []))
                 ids.append(item)
@@ -164,13 +153,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         sent = docs.sparkSession.sparkContext.broadcast(Items(pairs, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, cache = sent.value, _WordHashes()
-            for part in slices(batches):
+            items = sent.value
+            for part in text_slices(batches, 1):
+                hashes, begins = word_hashes([t.lower() for t in utf8(part.column(1))])
+                ends = np.append(begins[1:], len(hashes))
                 out = []
-                for i, text in enumerate(utf8(part.column(1))):
-                    words = np.array([cache[w] for w in text.lower().split()], dtype=np.uint64)
-                    if len(words):
-                        out += [(i, *leak) for leak in items.leaks(words)]
+                for i, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+                    if end > begin:
+                        out += [(i, *leak) for leak in items.leaks(hashes[begin:end])]
                 if out:
                     which, item, value, start, n = zip(*out, strict=True)
                     columns = [part.column(0).take(pa.array(which)), pa.array(item, pa.int64()), pa.array(value, pa.float64()), pa.array(start, pa.int64()), pa.array(n, pa.int64())]

@@ -28,18 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import slices, utf8, written
+from ._shared import mixed, slices, text_slices, utf8, word_hashes, written
 
 #: Words in the shortest level are at least this many.
 LEAST = 4
 
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-_CACHED_WORDS = 300_000
+#: Bits of a position among the words that are looked at together; the same whatever their number.
+_POSITION_BITS = 23
 
 
 def levels(length: int) -> list[int]:
@@ -50,22 +50,6 @@ def levels(length: int) -> list[int]:
     return found
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 class _Windows:
     """Hashes of any windows of one sequence of words, from prefix sums of a polynomial."""
 
@@ -86,22 +70,49 @@ class _Windows:
         np.cumsum(hashes * known[0][:n], out=self._sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mixed((self._sums[ends] - self._sums[starts]) * self._downs[starts] + (ends - starts).astype(np.uint64))
+        return mixed((self._sums[ends] - self._sums[starts]) * self._downs[starts] + (ends - starts).astype(np.uint64))
+
 
+def _least(keys: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, by doubling."""
+    done = 1
+    while done * 2 <= width:
+        keys = np.minimum(keys[:-done], keys[done:])
+        done *= 2
+    return np.minimum(keys[: len(keys) - (width - done)], keys[width - done :]) if done < width else keys
 
-def anchors(hashes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of one document: base hash, position, first window, number of windows, run hash of each anchor."""
+
+def anchors(hashes: np.ndarray, length: int, begins: np.ndarray, windows: _Windows | None = None) -> tuple[np.ndarray, ...]:
+    """Base hash, position, first window, number of windows and run hash of each anchor.
+
+    ``hashes`` are those of several documents' words, one after the other; ``begins`` is the first
+    word of each.  Windows don't reach over the end of a document.
+    """
     base = levels(length)[0]
-    windows = _Windows(hashes)
-    starts = np.arange(len(hashes) - base + 1)
+    windows = windows or _Windows(hashes)
+    n = len(hashes)
+    if n < length:
+        empty = np.empty(0, dtype=np.int64)
+        return empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64)
+    starts = np.arange(n - base + 1)
     base_hashes = windows.of(starts, starts + base)
-    choices = np.lib.stride_tricks.sliding_window_view(base_hashes, length - base + 1)
-    named = choices.argmin(axis=1) + np.arange(len(choices))
-    first = np.flatnonzero(np.diff(named, prepend=-1))
-    position = named[first]
-    count = np.diff(first, append=len(named))
+    # The upper bits order base windows, the lower ones break ties to the left.
+    low = np.uint64(max(_POSITION_BITS, int(n).bit_length()))
+    keys = (base_hashes >> low << low) | starts.astype(np.uint64)
+    named = (_least(keys, length - base + 1) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    ends = np.append(begins[1:], n)
+    whole = np.zeros(len(named) + 1, dtype=np.int64)
+    fits = ends - begins >= length
+    np.add.at(whole, begins[fits], 1)
+    np.add.at(whole, ends[fits] - length + 1, -1)
+    inside = np.cumsum(whole[:-1]) > 0
+    at = np.flatnonzero(inside)
+    named = named[at]
+    opens = np.flatnonzero((np.diff(named, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+    first, position = at[opens], named[opens]
+    count = np.diff(opens, append=len(at))
     run = windows.of(first, first + count + (length - 1))
-    run = _mixed(run + (position - first).astype(np.uint64) * _SECOND + count.astype(np.uint64))
+    run = mixed(run + (position - first).astype(np.uint64) * _SECOND + count.astype(np.uint64))
     return base_hashes[position], position, first, count, run
 
 
@@ -126,27 +137,17 @@ def _place(start: str) -> Column:
 
 def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
-        for part in slices(batches):
-            found: list[list[np.ndarray]] = [[], [], [], []]
-            rows = []
-            for i, text in enumerate(utf8(part.column(2))):
-                words = text.split()
-                if len(words) < length:
-                    continue
-                hashes = np.array([cache[w] for w in words], dtype=np.uint64)
-                base, _, first, count, whole = anchors(hashes, length)
-                for column, values in zip(found, (base, whole, first, count), strict=True):
-                    column.append(values)
-                rows.append(np.full(len(base), i))
-            if rows:
-                which = pa.array(np.concatenate(rows))
-                base, whole, first, count = map(np.concatenate, found)
-                yield pa.record_batch(
-                    [_signed(base), _signed(whole), part.column(0).take(which), part.column(1).take(which),
-                     pa.array(first, pa.int32()), pa.array(count, pa.int32())],
-                    names=["base", "run", "doc_id", "version", "start", "n"],
-                )
+        for part in text_slices(batches, 2):
+            hashes, begins = word_hashes(utf8(part.column(2)))
+            base, _, first, count, whole = anchors(hashes, length, begins)
+            # Texts without words begin where the next one does; the last of equals has the words.
+            which = np.searchsorted(begins, first, side="right") - 1
+            rows = pa.array(which)
+            yield pa.record_batch(
+                [_signed(base), _signed(whole), part.column(0).take(rows), part.column(1).take(rows),
+                 pa.array(first - begins[which], pa.int32()), pa.array(count, pa.int32())],
+                names=["base", "run", "doc_id", "version", "start", "n"],
+            )
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return keyed.mapInArrow(run, f"base long, run long, doc_id {kind}, version long, start int, n int")
@@ -171,31 +172,22 @@ def _window_rows(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     hashes_each = max(2, len(steps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
-        for part in slices(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(hashes_each + 1)]
-            rows = []
+        for part in text_slices(batches, 2):
+            hashes, begins = word_hashes(utf8(part.column(2)))
             entries = part.column(3).to_pylist()
-            for i, text in enumerate(utf8(part.column(2))):
-                hashes = np.array([cache[w] for w in text.split()], dtype=np.uint64)
-                starts = np.concatenate([np.arange(e["start"], e["start"] + e["n"]) for e in entries[i]])
-                _, position, first, _, _ = anchors(hashes, length)
-                position = position[np.searchsorted(first, starts, side="right") - 1]
-                windows = _Windows(hashes)
-                for k, step in enumerate(steps[1:-1]):
-                    begin = np.clip(position, starts, starts + length - step)
-                    out[k].append(windows.of(begin, begin + step) ^ _mixed((position - begin).astype(np.uint64)))
-                out[-3].append(windows.of(starts, starts + length))
-                out[-2].append(_Windows(hashes, _SECOND).of(starts, starts + length))
-                out[-1].append(starts)
-                rows.append(np.full(len(starts), i))
-            if rows:
-                which = pa.array(np.concatenate(rows))
-                *hashed, starts = map(np.concatenate, out)
-                yield pa.record_batch(
-                    [*map(_signed, hashed), part.column(0).take(which), part.column(1).take(which), pa.array(starts, pa.int32())],
-                    names=[*(f"level{k}" for k in range(len(hashed))), "doc_id", "version", "start"],
-                )
+            starts = np.array([begins[i] + j for i, own in enumerate(entries) for e in own for j in range(e["start"], e["start"] + e["n"])], dtype=np.int64)
+            windows = _Windows(hashes)
+            _, position, first, _, _ = anchors(hashes, length, begins, windows)
+            position = position[np.searchsorted(first, starts, side="right") - 1]
+            out = []
+            for step in steps[1:-1]:
+                begin = np.clip(position, starts, starts + length - step)
+                out.append(windows.of(begin, begin + step) ^ mixed((position - begin).astype(np.uint64)))
+            out += [windows.of(starts, starts + length), _Windows(hashes, _SECOND).of(starts, starts + length)]
+            which = np.searchsorted(begins, starts, side="right") - 1
+            rows = pa.array(which)
+            columns = [*map(_signed, out), part.column(0).take(rows), part.column(1).take(rows), pa.array(starts - begins[which], pa.int32())]
+            yield pa.record_batch(columns, names=[*(f"level{k}" for k in range(len(out))), "doc_id", "version", "start"])
 
     joined = keyed.join(wanted, _same_row(keyed, wanted)).select("doc_id", "version", "text", "entries")
     kind = keyed.schema["doc_id"].dataType.simpleString()
