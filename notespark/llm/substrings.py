@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +154,24 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.mapInArrow(run, f"base long, run long, doc_id {kind}, version long, start int, n int")
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with compressed texts, which are what the joins by document have to move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for part in text_slices(batches, 2):
+            texts = pa.array([compress(t) for t in utf8(part.column(2))], pa.binary())
+            yield pa.record_batch([part.column(0), part.column(1), texts], names=["doc_id", "version", "text"])
+
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    return keyed.mapInArrow(run, f"doc_id {kind}, version long, text binary")
+
+
+def _unpacked(part: pa.RecordBatch, column: int) -> list[bytes]:
+    decompress = zstandard.ZstdDecompressor().decompress
+    return [decompress(t) for t in part.column(column).to_pylist()]
+
+
 def _same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["of"]) & (left["version"] == right["of_version"])
 
@@ -173,7 +192,7 @@ def _window_rows(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 2):
-            hashes, begins = word_hashes(utf8(part.column(2)))
+            hashes, begins = word_hashes(_unpacked(part, 2))
             entries = part.column(3).to_pylist()
             starts = np.array([begins[i] + j for i, own in enumerate(entries) for e in own for j in range(e["start"], e["start"] + e["n"])], dtype=np.int64)
             windows = _Windows(hashes)
@@ -189,7 +208,8 @@ def _window_rows(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             columns = [*map(_signed, out), part.column(0).take(rows), part.column(1).take(rows), pa.array(starts - begins[which], pa.int32())]
             yield pa.record_batch(columns, names=[*(f"level{k}" for k in range(len(out))), "doc_id", "version", "start"])
 
-    joined = keyed.join(wanted, _same_row(keyed, wanted)).select("doc_id", "version", "text", "entries")
+    packed = _packed(keyed)
+    joined = packed.join(wanted, _same_row(packed, wanted)).select("doc_id", "version", "text", "entries")
     kind = keyed.schema["doc_id"].dataType.simpleString()
     hashed = ", ".join(f"level{k} long" for k in range(hashes_each))
     return joined.mapInArrow(run, f"{hashed}, doc_id {kind}, version long, start int")
@@ -251,7 +271,7 @@ def remove_repeated_passages(docs: DataFrame, length: int = 20) -> DataFrame:
         for part in slices(batches):
             entries = part.column(2).to_pylist()
             total, gone, kept = [], [], []
-            for text, own in zip(utf8(part.column(1)), entries, strict=True):
+            for text, own in zip(_unpacked(part, 1), entries, strict=True):
                 words = text.split()
                 total.append(len(words))
                 if own:
@@ -265,6 +285,7 @@ def remove_repeated_passages(docs: DataFrame, length: int = 20) -> DataFrame:
             columns = [part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.record_batch(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = keyed.join(removal, _same_row(keyed, removal), "left").select("doc_id", "text", "entries")
+    packed = _packed(keyed)
+    joined = packed.join(removal, _same_row(packed, removal), "left").select("doc_id", "text", "entries")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
