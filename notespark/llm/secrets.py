@@ -116,8 +116,10 @@ filter find first flag float folder font format frame function generic get group
 
 def train(docs: DataFrame, seed: int = 0) -> Chains:
     """The two chains; looks at the first words of at most ``SAMPLE_DOCS`` documents."""
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id").limit(SAMPLE_DOCS)
-    bounded = texts.select(F.substring("text", 1, 2000).alias("text")).toArrow().column(0).to_pylist()
+    # Ids first: ranking rows with their texts would bring texts of every partition to one task.
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+    texts = docs.select("doc_id", F.substring("text", 1, 2000).alias("text")).join(F.broadcast(chosen), "doc_id")
+    bounded = [t or "" for t in texts.limit(SAMPLE_DOCS).toArrow().column(1).to_pylist()]
     words = sorted({w for t in bounded for w in re.findall(r"[A-Za-z]{2,12}", t)})
     rng = random.Random(seed)
     rng.shuffle(words)
