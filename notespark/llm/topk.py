@@ -148,6 +148,12 @@ def _collected(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return table.column(0).to_numpy()[valid], vectors[valid]
 
 
+def _chosen(data: DataFrame, order: list, n: int) -> DataFrame:
+    """About the first ``n`` rows in an order, at most 2 n; ids are ranked alone, without vectors."""
+    ids = data.select("vec_id", *[o.alias(f"_{i}") for i, o in enumerate(order)]).orderBy(*[f"_{i}" for i in range(len(order))], "vec_id")
+    return data.join(F.broadcast(ids.limit(n).select("vec_id").distinct()), "vec_id").limit(2 * n)
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """The ``k`` best of each query: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``.
 
@@ -172,11 +178,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     if not n:
         return spark.createDataFrame([], schema)
     width = max(width, 1)
-    _, sample = _collected(data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE), width)
+    _, sample = _collected(_chosen(data, [F.xxhash64("vec_id")], SAMPLE), width)
     scale = np.abs(sample).max(initial=0) or 1.0
     rotation = np.linalg.svd(sample / scale, full_matrices=True)[2].T if len(sample) >= width else np.eye(width)
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    longest = _collected(data.orderBy(F.desc(squares), "vec_id").limit(LONGEST), width)
+    longest = _collected(_chosen(data, [-squares], LONGEST), width)
 
     per_block = max(1, BLOCK_BYTES // (8 * width))
     blocks = -(-n // per_block)
