@@ -48,14 +48,47 @@ def written(df: DataFrame) -> DataFrame:
 
     The files stay until the folder is cleaned up: they may be read as long as results are lazy.
     """
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    return _written(df, f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tasks(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions: what the user sizes to the data."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with marks in front if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Rows of a table that a join may send to all executors: some tens of megabytes.
+BROADCAST_ROWS = 300_000
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """A written table, with the hint to broadcast it if it has ``BROADCAST_ROWS`` rows at most; a
+    larger one is joined by a shuffle.  For rows of a few numbers."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+class Scratch:
+    """Written tables that go when the ``with`` block ends; nothing that outlives it may read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{_shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        return _written(df, f"{self.folder}/{uuid.uuid4().hex}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +123,6 @@ def n_words(text: Column) -> Column:
     return F.when(F.octet_length(trimmed) > 0, count).otherwise(0).cast("long")
 
 
-def with_columns(schema: str, df: DataFrame, *names: str) -> str:
-    """``schema`` (DDL) preceded by the named columns of ``df`` with their own types."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join([*(f"`{n}` {types[n]}" for n in names), schema])
-
-
 _SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0xD6E8FEB86659FD93
 _PIECE = 1 << 20
