@@ -5,8 +5,9 @@ chains of order 2, one of random strings, one of ordinary identifiers; a token t
 is a secret when its log-likelihood ratio per character exceeds a threshold.
 
 Training samples are labelled by how they come about.  Random ones are drawn with a fixed seed from
-the alphabets that keys use.  Ordinary ones are identifiers put together from the words of a
-bounded sample of documents, with the case styles and numbers of program text.
+the alphabets that keys use.  Ordinary ones are identifiers with the case styles and numbers of
+program text.  Their words follow the corpus: the letter triples of all words of all documents are
+counted, which is a table of a fixed size, and words are drawn from that chain with a fixed seed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import slices, utf8
+from ._shared import text_slices, utf8
 
 ASSIGN = re.compile(
     r"""(?a:([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -32,8 +33,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Kinds as they are listed; the last one is what the models find.
 KINDS = ("assign", "access", "hex", "random")
-#: Words of the documents that ordinary samples are made of, and samples of either class.
-SAMPLE_DOCS, SAMPLE_WORDS, SAMPLES = 400, 4000, 20000
+#: Words drawn from the chain of the corpus's words, and samples of either class.
+DRAWN_WORDS, SAMPLES = 4000, 20000
+#: Letters of a word whose triples count.
+WORD_LETTERS = 2, 12
 THRESHOLD = 0.8
 
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
@@ -114,27 +117,81 @@ filter find first flag float folder font format frame function generic get group
 """.split()
 
 
+#: By byte: 0 between tokens, 1 to 26 a letter, 27 what makes a token no word.
+_LETTER = np.full(256, 27, dtype=np.int64)
+for _i in range(26):
+    _LETTER[ord("a") + _i] = _LETTER[ord("A") + _i] = _i + 1
+_LETTER[[b for b in range(128) if chr(b) not in _ALPHABET]] = 0
+
+
+def letter_triples(text: bytes) -> np.ndarray:
+    """Counts of the letter triples of a text's words, a word's ends being 0: 27 * 27 * 27 numbers.
+
+    A word is a token of letters only, 2 to 12 of them, neither in capitals nor with capitals inside.
+    """
+    codes = np.frombuffer(b"\n" + text + b"\n\n", np.uint8)
+    letters = _LETTER[codes]
+    edges = np.diff((letters > 0).astype(np.int8), prepend=0)
+    begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    upper = (codes >= 65) & (codes <= 90)
+    bad = np.concatenate(([0], np.cumsum((letters == 27) | upper & (np.roll(letters, 1) > 0))))
+    good = (bad[ends] == bad[begins]) & (ends - begins >= WORD_LETTERS[0]) & (ends - begins <= WORD_LETTERS[1])
+    step = np.zeros(len(codes) + 1, dtype=np.int8)
+    step[begins[good]] += 1
+    step[ends[good] + 1] -= 1
+    at = np.flatnonzero(np.cumsum(step[:-1]))  # the letters of a word and the place behind it
+    before = np.where(letters[at - 1] > 0, letters[np.maximum(at - 2, 0)], 0)
+    return np.bincount((before * 27 + letters[at - 1]) * 27 + letters[at], minlength=27**3)
+
+
+def corpus_triples(docs: DataFrame) -> np.ndarray:
+    """``letter_triples`` over all whole texts of ``docs``: an aggregate of at most 27 * 27 * 27 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(27**3, dtype=np.int64)
+        for part in text_slices(batches, 0):
+            total += letter_triples(b"\n".join(utf8(part.column(0))))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["triple", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(27**3)
+    out[counted.column("triple").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def drawn_words(triples: np.ndarray, n: int, rng: random.Random) -> list[str]:
+    """``n`` words drawn from the chain of order 2 that the triples make."""
+    sums = triples.reshape(27, 27, 27).cumsum(axis=2)
+    out = []
+    while len(out) < n and sums[0, 0, -1] > 0:
+        word, a, b = "", 0, 0
+        while len(word) < WORD_LETTERS[1]:
+            c = int(np.searchsorted(sums[a, b], rng.random() * sums[a, b, -1], side="right"))
+            if c == 0:
+                break
+            word, a, b = word + chr(96 + c), b, c
+        out.append(word)
+    return out
+
+
 def train(docs: DataFrame, seed: int = 0) -> Chains:
-    """The two chains; looks at the first words of at most ``SAMPLE_DOCS`` documents."""
-    # Ids first: ranking rows with their texts would bring texts of every partition to one task.
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    texts = docs.select("doc_id", F.substring("text", 1, 2000).alias("text")).join(F.broadcast(chosen), "doc_id")
-    bounded = [t or "" for t in texts.limit(SAMPLE_DOCS).toArrow().column(1).to_pylist()]
-    words = sorted({w for t in bounded for w in re.findall(r"[A-Za-z]{2,12}", t)})
+    """The two chains; those of ordinary identifiers follow the words of all ``docs``."""
     rng = random.Random(seed)
-    rng.shuffle(words)
-    return Chains(_random_strings(rng), _identifiers(words[:SAMPLE_WORDS], rng))
+    words = drawn_words(corpus_triples(docs), DRAWN_WORDS, rng)
+    return Chains(_random_strings(rng), _identifiers(words, rng))
 
 
 def all_spans(text: str, chains: Chains) -> list[tuple[int, int, int]]:
     """The rules' spans, and tokens beside them that the models take for random."""
     found = rule_spans(text)
-    added = []
-    for m in TOKEN.finditer(text):
+    added, at, reached = [], 0, 0
+    for m in TOKEN.finditer(text):  # both lists ascend, so they are merged
         begin, end = m.span()
-        if any(b < end and begin < e for b, e, _ in found):
-            continue
-        if chains.score(m[0]) > THRESHOLD:
+        while at < len(found) and found[at][0] < end:
+            reached = max(reached, found[at][1])
+            at += 1
+        if reached <= begin and chains.score(m[0]) > THRESHOLD:
             added.append((begin, end, 3))
     return sorted(found + added, key=lambda s: (s[0], s[2])) if added else found
 
@@ -152,7 +209,7 @@ def find_secrets(docs: DataFrame, chains: Chains) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
-        for part in slices(batches):
+        for part in text_slices(batches, 1):
             spans = [[{"kind": KINDS[k], "begin": b, "end": e} for b, e, k in all_spans(t.decode(), model)] for t in utf8(part.column(1))]
             yield pa.record_batch([part.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
@@ -180,7 +237,7 @@ def redact_secrets(docs: DataFrame, chains: Chains, mark: str = "[SECRET]") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for part in slices(batches):
+        for part in text_slices(batches, at):
             texts = pa.array([clean(t, model) for t in part.column(at).to_pylist()], pa.string())
             yield pa.record_batch([*part.columns[:at], texts, *part.columns[at + 1 :]], names=names)
 
