@@ -9,6 +9,7 @@ How the prefix sum is distributed: a source's key range is divided into equal bu
 uniform, so buckets are even whatever the source's share; one small aggregate has the size of each
 bucket, its running sum gives each bucket an offset, and a window within the bucket does the rest.
 There are about sqrt(rows) buckets, so neither a bucket nor the list of buckets becomes large.
+Rows that agree in doc_id and text have one key; they are counted first and expanded last.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ._shared import materialize, n_words
 EPOCHS = 3
 
 _KEY_SPAN = 1 << 32
+#: Copies of a row that are expanded at once.
+_CHUNK = 4096
 
 
 def source_targets(sizes: DataFrame, weight: Column, epochs: int = EPOCHS) -> DataFrame:
@@ -53,25 +56,35 @@ def source_targets(sizes: DataFrame, weight: Column, epochs: int = EPOCHS) -> Da
 def cyclic_weights(sizes: DataFrame, cycle: int = 3) -> DataFrame:
     """Adds ``_rank_weight``: 1, 2, ..., ``cycle``, repeating over the sources by code point, null last.
 
-    The rank is a distributed one: sources are dealt by a prefix of their name, the prefixes are
-    counted, and the count of the smaller prefixes is added to the rank within the prefix.
+    The rank comes from a range sort: a source's place in its partition, and the number of sources
+    in the partitions before, of which there is one row each.
     """
-    prefix = F.coalesce(F.substring("source", 1, 2), F.lit(""))
-    dealt = sizes.withColumn("_null", F.col("source").isNull()).withColumn("_prefix", prefix)
-    counts = dealt.groupBy("_null", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_null", "_prefix").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    ).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_null", "_prefix").orderBy("source"))
-    ranked = dealt.withColumn("_rank", rank).join(before, ["_null", "_prefix"])
-    weight = ((F.col("_before") + F.col("_rank") - 1) % cycle + 1).alias("_rank_weight")
+    ordered = materialize(sizes.orderBy(F.col("source").isNull(), "source"))
+    number = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    placed = ordered.select("*", F.shiftright(number, 33).alias("_part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = placed.join(F.broadcast(before), F.col("_part") == F.col("_of"))
+    weight = ((F.col("_before") + F.col("_at")) % cycle + 1).alias("_rank_weight")
     return ranked.select(*sizes.columns, weight)
 
 
+def _expanded(groups: DataFrame) -> DataFrame:
+    """A row for each of the ``copies``, numbered by ``_copy`` from 0.  Arrays have ``_CHUNK`` elements
+    at most, and groups of more copies are dealt over all tasks."""
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few, many = groups.where(F.col("copies") <= _CHUNK), groups.where(F.col("copies") > _CHUNK)
+    rows = few.withColumn("_copy", numbers(F.col("copies")))
+    if many.isEmpty():
+        return rows
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = many.withColumn("_chunk", numbers(F.ceil(F.col("copies") / _CHUNK))).repartition(tasks)
+    left = F.least(F.lit(_CHUNK), F.col("copies") - F.col("_chunk") * _CHUNK)
+    dealt = dealt.withColumn("_in", numbers(left)).withColumn("_copy", F.col("_chunk") * _CHUNK + F.col("_in"))
+    return rows.unionByName(dealt.drop("_chunk", "_in"))
+
+
 def mix_sources(docs: DataFrame, seed: str = "mix", epochs: int = EPOCHS, cycle: int = 3) -> DataFrame:
     """The mix of all ``docs`` (``doc_id``, ``text``, ``source``): doc_id, source, size, source_size,
     target, taken.
@@ -81,19 +94,23 @@ def mix_sources(docs: DataFrame, seed: str = "mix", epochs: int = EPOCHS, cycle:
     rounded to a word.
 
     Nulls and other cases: a null text has size 0, a null source is a source of its own and comes
-    last, a null doc_id sorts as the text "null".  Empty texts are taken 0 times their 0 words.
-    Repeated rows each count; rows that share a key are ordered by doc_id, then size.  An empty
-    table gives an empty result.  Extra columns are left out, so their names can't clash.
+    last, a null doc_id counts as the text "null" in the key.  Empty texts are taken 0 times their 0
+    words.  The key follows doc_id and text, so rows without doc_ids or with equal ones are spread
+    like others; rows that agree in both are counted before they are shuffled, lie side by side in
+    the order and each have a row in the result.  An empty table gives an empty result.  Extra
+    columns are left out, so their names can't clash.
     """
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    key = F.md5(F.concat(name, F.lit(f":{seed}")))
-    rows = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key")))
+    key = F.md5(F.concat(name, F.lit(":"), F.md5(F.coalesce("text", F.lit(""))), F.lit(f":{seed}")))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key"))
+    rows = materialize(rows.groupBy("doc_id", "source", "size", "_key").agg(F.count(F.lit(1)).alias("copies")))
     n = rows.count()
     buckets = max(1, math.isqrt(n))
     high = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("_bucket", F.floor(high * buckets / F.lit(_KEY_SPAN)).cast("long"))
+    rows = rows.withColumn("_words", F.col("size") * F.col("copies"))
 
-    by_bucket = materialize(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_in_bucket")))
+    by_bucket = materialize(rows.groupBy("source", "_bucket").agg(F.sum("_words").alias("_in_bucket")))
     sizes = by_bucket.groupBy("source").agg(F.sum("_in_bucket").alias("source_size"))
     sizes = materialize(cyclic_weights(sizes, cycle))
     targets = source_targets(sizes, F.col("_rank_weight"), epochs).drop("_rank_weight")
@@ -109,11 +126,13 @@ def mix_sources(docs: DataFrame, seed: str = "mix", epochs: int = EPOCHS, cycle:
         .orderBy("_key", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = rows.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = rows.withColumn("_before", F.coalesce(F.sum("_words").over(within), F.lit(0)))
     placed = placed.join(cuts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_of")))
+    placed = _expanded(placed)
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_offset") - F.col("_before")))
+    before = F.col("_offset") + F.col("_before") + F.col("_copy") * F.col("size")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     taken = (whole * F.col("size") + part).cast("long").alias("taken")
     return placed.select("doc_id", "source", "size", "source_size", "target", taken)

@@ -6,7 +6,7 @@ _MIX_ROUNDS = 40
 
 OP2 = f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, {_WORDS} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS k
+  SELECT doc_id, source, {_WORDS} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':mix') AS k
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
