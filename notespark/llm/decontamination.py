@@ -11,9 +11,11 @@ left out.
 
 *Candidates.*  These windows are fingerprinted by SimHash.  Items of the same size within
 ``RADIUS`` bits are found by multi-index hashing: of ``BLOCKS`` blocks of eight bits one must be
-within ``RADIUS // BLOCKS`` bits, and a table for each block lists the items near each of its 256
-values.  All fingerprints within the radius are found; at the default similarity of 0.8 about ten of
-64 bits differ, and the radius leaves room for more than three times the standard deviation.
+within ``RADIUS // BLOCKS`` bits, and the items are sorted by each block, so that those near a value
+are slices.  All fingerprints within the radius are found; at the default similarity of 0.8 about ten
+of 64 bits differ, and the radius leaves room for more than four times the standard deviation.  A
+radius of that size makes the blocks list most items of a size for any fingerprint; what keeps the
+work small are the marks, which leave hardly a window that doesn't leak.
 
 *Verification.*  The exact similarity is computed from the shingles' hashes.
 
@@ -23,7 +25,6 @@ passes over the documents.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import text_slices, utf8, word_hashes, written
+from ._shared import bounded, text_slices, utf8, word_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = 8
-#: Characters of items that go to the workers at once.
-BLOCK_CHARS = 8 << 20
+#: A size of more items than this has an index.
+INDEXED = 64
+#: Bytes of items that go to the workers at once; prepared they take about four times as many.
+BLOCK_CHARS = 4 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,29 +67,70 @@ def simhash(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(_bits(hashes).sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little")
 
 
-def weighted_jaccard(a: Counter, b: Counter) -> float:
-    shared = sum((a & b).values())
-    return shared / (sum(a.values()) + sum(b.values()) - shared)
+def _weighted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in ascending order, and how often each occurs."""
+    return np.unique(hashes, return_counts=True)
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    shared = int(np.minimum(a[1][i], b[1][j]).sum())
+    return shared / (int(a[1].sum()) + int(b[1].sum()) - shared)
+
+
+#: For each value of a block the values within the bits that one of the blocks may differ by.
+_NEAR = np.stack([np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8) ^ np.uint8(v)) <= RADIUS // BLOCKS) for v in range(256)])
 
 
 class _Size:
-    """The items of one number of words, with their multi-index tables."""
+    """The items of one number of words, in flat arrays, with their multi-index.
+
+    For each block the items are sorted by the block's value, ``edges`` has where each value begins:
+    40 bytes an item and 16 kB a size.  Sizes of few items need no index, as blocks list most of them.
+    """
 
     def __init__(self, n: int, ids: list, words: list[np.ndarray]):
         self.n, self.k, self.ids = n, min(SHINGLE, n), ids
         hashes = [shingle_hashes(w, self.k) for w in words]
-        self.counts = [Counter(h.tolist()) for h in hashes]
-        self.known = np.unique(np.concatenate(hashes))
+        distinct, counts = zip(*map(_weighted, hashes), strict=True)
+        self.begins = np.cumsum([0, *map(len, distinct)])
+        self.hashes, self.counts = np.concatenate(distinct), np.concatenate(counts).astype(np.int32)
         self.prints = np.stack([simhash(h) for h in hashes])
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
-        self.tables = [[np.flatnonzero(near[v][self.prints[:, b]]) for v in range(256)] for b in range(BLOCKS)]
+        self.order = None
+        if len(ids) > INDEXED:
+            self.order = np.argsort(self.prints.T, axis=1, kind="stable").astype(np.int32)
+            sorted_prints = np.take_along_axis(self.prints.T, self.order, axis=1)
+            self.edges = np.stack([np.searchsorted(row, np.arange(257)) for row in sorted_prints])
+
+    def item(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The weighted shingles of an item."""
+        part = slice(self.begins[i], self.begins[i + 1])
+        return self.hashes[part], self.counts[part]
+
+    def listed(self, fingerprint: np.ndarray) -> np.ndarray:
+        """The items of which some block is near the fingerprint's."""
+        if self.order is None:
+            return np.arange(len(self.ids))
+        block, near = np.arange(BLOCKS)[:, None], _NEAR[fingerprint]
+        begins, ends = self.edges[block, near], self.edges[block, near + 1]
+        found = np.zeros(len(self.ids), dtype=bool)
+        for b in range(BLOCKS):
+            found[self.order[b][_ranges(begins[b], ends[b] - begins[b])]] = True
+        return np.flatnonzero(found)
 
     def candidates(self, fingerprint: np.ndarray) -> np.ndarray:
-        listed = np.unique(np.concatenate([self.tables[b][v] for b, v in enumerate(fingerprint.tolist())]))
+        """The items within the radius."""
+        listed = self.listed(fingerprint)
         distance = np.bitwise_count(self.prints[listed] ^ fingerprint).sum(axis=1)
         return listed[distance <= RADIUS]
 
 
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers begin, ..., begin + length - 1 of every pair, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1]) + np.repeat(begins - (ends - lengths), lengths)
+
+
 class Items:
     """A block of benchmark items, ready to be looked for."""
 
@@ -100,7 +144,7 @@ class Items:
                 ids.append(item)
                 kept.append(words)
         self.sizes = [_Size(n, *by_size[n]) for n in sorted(by_size)]
-        self.known = {k: np.unique(np.concatenate([s.known for s in self.sizes if s.k == k])) for k in {s.k for s in self.sizes}}
+        self.known = {k: np.unique(np.concatenate([s.hashes for s in self.sizes if s.k == k])) for k in {s.k for s in self.sizes}}
 
     def leaks(self, words: np.ndarray) -> list[tuple]:
         """(item, similarity, start, number of words) of the best window for each leaked item."""
@@ -122,9 +166,9 @@ class Items:
             for start in np.flatnonzero(sums[v:] - sums[:-v] >= least - 1e-9).tolist():
                 window = hashes[start : start + v]
                 found = size.candidates(simhash(window))
-                own = Counter(window.tolist()) if len(found) else None
+                own = _weighted(window) if len(found) else None
                 for i in found.tolist():
-                    value = weighted_jaccard(own, size.counts[i])
+                    value = weighted_jaccard(own, size.item(i))
                     if value >= self.similarity and (size.ids[i] not in best or value > best[size.ids[i]][0]):
                         best[size.ids[i]] = value, start, n
         return [(item, *x) for item, x in best.items()]
@@ -174,4 +218,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns."""
     leaked = written(find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    return docs.join(bounded(leaked), docs["doc_id"].eqNullSafe(leaked["_leaked"]), "left_anti")

@@ -69,8 +69,9 @@ def test_multi_index_finds_all_within_the_radius():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    size = _Size(30, list(range(40)), [rng.integers(0, 2**63, 30).astype(np.uint64) for _ in range(40)])
-    for i in range(40):
+    few, many = (_Size(30, list(range(n)), [rng.integers(0, 2**63, 30).astype(np.uint64) for _ in range(n)]) for n in (40, 400))
+    assert few.order is None and many.order is not None
+    for size, i in ((size, i) for size in (few, many) for i in range(40)):
         for flips in (0, 5, RADIUS):
             bits = np.unpackbits(size.prints[i], bitorder="little")
             bits[rng.choice(64, flips, replace=False)] ^= 1
@@ -86,3 +87,19 @@ def test_awkward_rows(spark):
     frame, bench = _check(spark, docs, items)
     assert find_leaks(frame.limit(0), bench).count() == find_leaks(frame, bench.limit(0)).count() == 0
     assert {r.doc_id for r in without_leaks(frame, bench).collect()} == {1, 2}
+
+
+def test_the_radius_loses_no_leak_of_the_documents(spark, sf, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda: {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()}
+    got = found()
+    monkeypatch.setattr(d, "RADIUS", 64)
+    assert got == found() != set()
+
+
+def test_items_take_little_room():
+    import pickle
+
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(50 + i)).encode()) for i in range(400)]
+    assert len(pickle.dumps(d.Items(items, 0.8))) < 5 * sum(len(t) for _, t in items)
