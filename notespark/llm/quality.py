@@ -7,8 +7,7 @@ length as metadata.  The score is
 
 the sum-of-squares identity for all pairwise interactions with factors of rank ``RANK``, so it
 takes time in proportion to the number of features.  Training runs in numpy on the driver on a
-sample of labelled rows that is bounded by ``per_class``; their features are computed by the
-workers.
+sample of labelled rows that is bounded in rows and bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import Adam, labelled, sigmoid
-from ._shared import slices, utf8
+from ._shared import text_slices, utf8
 
 BUCKETS = 1 << 14
 RANK = 6
@@ -32,7 +31,7 @@ EPOCHS = 12
 BATCH = 128
 RATE = 0.01
 DECAY = 1e-4
-_CACHED_WORDS = 300_000
+_CACHED_WORDS, _CACHED_BYTES = 300_000, 64
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _MARKS = b"!?*&%$#|<>{}[]=_~^@\\/+"
@@ -44,10 +43,14 @@ STATISTICS = (
 
 
 class _Buckets(dict):
+    """Buckets of words; short ones are remembered, so that memory is bounded in bytes."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        value = self[word] = zlib.crc32(word.lower().strip(b".,;:!?*&%$#")) % BUCKETS
+        value = zlib.crc32(word.lower().strip(b".,;:!?*&%$#")) % BUCKETS
+        if len(word) <= _CACHED_BYTES:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -110,21 +113,6 @@ def _row(at: np.ndarray, values: np.ndarray, standard: np.ndarray) -> tuple[np.n
     return np.concatenate((at, BUCKETS + np.arange(len(standard)))), np.concatenate((values, np.clip(standard, -5, 5)))
 
 
-def _sample_features(sample: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets()
-        for part in slices(batches):
-            at, values, statistics = zip(*(features(t, buckets) for t in utf8(part.column(0))), strict=True) if part.num_rows else ((), (), ())
-            columns = [pa.array([a.tolist() for a in at], pa.list_(pa.int64())), pa.array([v.tolist() for v in values], pa.list_(pa.float64())),
-                       pa.array([list(map(float, s)) for s in statistics], pa.list_(pa.float64())), part.column(1)]
-            yield pa.record_batch(columns, names=["at", "x", "statistics", "label"])
-
-    rows = sample.mapInArrow(run, "at array<bigint>, x array<double>, statistics array<double>, label int")
-    table = rows.orderBy("label", "statistics").toArrow()
-    pairs = [(np.array(a, dtype=np.int64), np.array(x)) for a, x in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)]
-    return pairs, np.array(table.column(2).to_pylist(), dtype=np.float64), np.array(table.column(3).to_pylist(), dtype=np.float64)
-
-
 def fit(pairs: list, statistics: np.ndarray, labels: np.ndarray, class_weights: dict[int, float], seed: int = 0) -> Model:
     """Trains the machine by Adam on the weighted logistic loss, with decay on all but the bias."""
     if len(set(labels.tolist())) < 2:
@@ -157,30 +145,32 @@ def fit(pairs: list, statistics: np.ndarray, labels: np.ndarray, class_weights:
     return Model(weights, factors, float(bias[0]), mean, spread)
 
 
-def train(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = 1500, most_bytes: int = 8 << 20) -> Model:
     """The machine learnt from ``labels.quality`` of rows where ``learnable`` (a condition on doc_id)
-    holds, at most ``per_class`` rows of each class.
+    holds, from at most ``per_class`` rows of each class and ``most_bytes`` of text.
     """
-    sample, weights = labelled(docs, labels, "quality", learnable, per_class)
-    return fit(*_sample_features(sample), weights)
+    texts, found, weights = labelled(docs, labels, "quality", learnable, per_class, most_bytes)
+    buckets = _Buckets()
+    at, values, statistics = zip(*(features(t, buckets) for t in texts), strict=True) if texts else ((), (), ())
+    return fit(list(zip(at, values, strict=True)), np.array(statistics), found.astype(np.float64), weights)
 
 
-def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` but any of that name, and ``score``: double, 0 to 1.
+def score_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` but any of that name, and ``name``: double, 0 to 1.
 
     Nulls and other cases: a null text is scored as an empty one; texts of any length are scored
     whole; rows are scored one by one, so repeated rows and ties score alike; a model without both
     classes in its labels scores all texts alike; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS
-    others = [c for c in docs.columns if c.lower() != "score"]
+    others = [c for c in docs.columns if c.lower() != name.lower()]
     kept = docs.select(*others, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, buckets = sent.value, _Buckets()
-        for part in slices(batches):
+        for part in text_slices(batches, len(others)):
             logits = [model.logit(*features(t, buckets)) for t in utf8(part.column(part.num_columns - 1))]
-            yield pa.record_batch([*part.columns[:-1], pa.array(sigmoid(np.array(logits, dtype=np.float64)))], names=[*others, "score"])
+            yield pa.record_batch([*part.columns[:-1], pa.array(sigmoid(np.array(logits, dtype=np.float64)))], names=[*others, name])
 
-    schema = docs.select(*others).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*others).withColumn(name, F.lit(0.0)).schema
     return kept.mapInArrow(run, schema)

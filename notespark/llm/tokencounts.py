@@ -21,11 +21,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import slices, utf8
+from ._shared import text_slices, utf8
 
 SPACE = "▁"
 UNKNOWN = 10.0
-_CACHED_WORDS = 300_000
+_CACHED_WORDS, _CACHED_CHARS = 300_000, 64
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 class Counter(dict):
-    """Token counts of cuts, remembered up to a bound."""
+    """Token counts of cuts; short ones are remembered, so that memory is bounded in bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.automaton = ahocorasick.Automaton()
@@ -60,9 +60,11 @@ class Counter(dict):
         self.bytes = all(f"<0x{b:02X}>" in self.known for b in range(256))
 
     def __missing__(self, cut: str) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        value = self[cut] = self.count(cut)
+        value = self.count(cut)
+        if len(cut) <= _CACHED_CHARS:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[cut] = value
         return value
 
     def _run(self, text: str) -> int:
@@ -123,7 +125,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(sent.value)
-        for part in slices(batches):
+        for part in text_slices(batches, 1):
             counts = [counter.text(t.decode()) for t in utf8(part.column(1))]
             yield pa.record_batch([part.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
