@@ -14,6 +14,11 @@ REWRITTEN_WEIGHT = 0.9
 SAME_LANGUAGE, OTHER_LANGUAGE = 1.5, 0.5
 MIN_SCORE_MARGIN, MIN_SCORE_CEILING, MIN_SCORE_FLOOR, MIN_SCORE_FALLBACK = 0.9, 0.05, 0.001, 0.005
 MIN_SCORE_LAST_RANK = 5
+FUSION_CANDIDATES = 50
+#: The calibration grid: weights of the vector list, k of the fusion, weights of the term boost.
+GRID_WEIGHTS = (0.0, 0.2, 0.5, 0.8, 1.0, 1.2, 1.5, 1.8, 2.0, 2.5, 3.0)
+GRID_KS = (10.0, 20.0, 40.0, 60.0, 80.0, 100.0)
+GRID_BOOSTS = (0.0, 0.01, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3)
 BM25_K1, BM25_B, BM25_LEAST_IDF = 1.2, 0.75, 1e-6
 FRAGMENT_TOKENS = 256
 CACHE_SECONDS = 30 * 86400

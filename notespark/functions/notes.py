@@ -74,7 +74,7 @@ def fuzzy(query: str, title: Column) -> Column:
 
 
 def _cells(row: str) -> list[str]:
-    return [c.strip() for c in row.strip().strip("|").split("|")]
+    return [c.strip() for c in row.strip().removeprefix("|").removesuffix("|").split("|")]
 
 
 def _is_separator(row: str) -> bool:

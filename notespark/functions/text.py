@@ -56,30 +56,33 @@ def blank_lines_collapsed(text: Column) -> Column:
 
 def links_to_labels(text: Column) -> Column:
     """Wiki links become their alias or target, Markdown links their label."""
-    text = F.regexp_replace(text, r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1")
-    text = F.regexp_replace(text, r"\[\[([^\]]*)\]\]", "$1")
-    return F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    text = F.regexp_replace(text, r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1")
+    text = F.regexp_replace(text, r"\[\[([^\]|]+)\]\]", "$1")
+    return F.regexp_replace(text, r"\[([^\]]+)\]\([^\)]+\)", "$1")
 
 
 def list_markers_dropped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?m)^[ \t]*[-*+][ \t]+", "")
+    return F.regexp_replace(text, r"(?md)^\s*[-+*]\s+", "")
 
 
 def numbers_dropped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?m)^[ \t]*[0-9]+[.)][ \t]+", "")
+    return F.regexp_replace(text, r"(?md)^\s*\d+\.\s+", "")
 
 
 def heading_marks_dropped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?m)^[ \t]*#{1,6}[ \t]+", "")
+    return F.regexp_replace(text, r"(?md)^#{1,6}\s+", "")
 
 
 def rules_dropped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?m)^[ \t]*(-{3,}|\*{3,}|_{3,})[ \t]*$", "")
+    return F.regexp_replace(text, r"(?md)^(?:\*{3,}|-{3,}|_{3,})\s*$", "")
 
 
 def emphasis_dropped(text: Column) -> Column:
-    for pattern in (r"\*\*([^*\n]+)\*\*", r"~~([^~\n]+)~~", r"==([^=\n]+)==", r"`([^`\n]+)`", r"\*([^*\n]+)\*"):
-        text = F.regexp_replace(text, pattern, "$1")
+    """Bold, struck, marked and code text; italics only where white space or the text's ends are around."""
+    for mark in (r"\*\*", "__", "~~", "==", "`"):
+        text = F.regexp_replace(text, f"(?d){mark}(.+?){mark}", "$1")
+    for mark, other in (("_", "[^_]"), (r"\*", "[^*]")):
+        text = F.regexp_replace(text, rf"(^|\s){mark}({other}+){mark}(\s|$)", "$1$2$3")
     return text
 
 
@@ -87,11 +90,15 @@ def latex_dropped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)\$\$.*?\$\$", ""), r"\$[^$\n]+\$", "")
 
 
-def cleaned(text: Column) -> Column:
-    """The chain for embedding: rules, numbers, markers, links, emphasis, headings, lines, case."""
-    for step in (rules_dropped, numbers_dropped, list_markers_dropped, links_to_labels, emphasis_dropped, heading_marks_dropped, blank_lines_collapsed):
-        text = step(text)
-    return F.btrim(F.lower(text), F.lit(" \t\n\r"))
+def cleaned(text: Column, rules: bool = True, numbers: bool = True, markers: bool = True, links: bool = True, latex: str = "keep",
+            emphasis: bool = True, headings: bool = True, compact: bool = True, lower: bool = True) -> Column:
+    """The cleaning chain, each step as its flag says.  ``latex`` is ``keep`` or ``remove``; tables as
+    lines and formatted LaTeX need ``functions.markdown.clean``, which has the same steps."""
+    steps = ((rules, rules_dropped), (numbers, numbers_dropped), (markers, list_markers_dropped), (links, links_to_labels),
+             (latex == "remove", latex_dropped), (emphasis, emphasis_dropped), (headings, heading_marks_dropped), (compact, blank_lines_collapsed))
+    for wanted, step in steps:
+        text = step(text) if wanted else text
+    return F.btrim(F.lower(text) if lower else text, F.lit(" \t\n\x0b\f\r"))
 
 
 def json_payload(text: Column) -> Column:

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prompts import distribution, parsed_json
+from ..tables import kept
+from . import store
+from .tags import associated, resolved
+
+
+def appended(targets: DataFrame, chunks: DataFrame, draft_id: int | None = None, now: str | None = None) -> DataFrame:
+    """``targets`` (note_id, content) with the texts of ``chunks`` (target_id, chunk_index, text) behind,
+    in the order of chunks.
 
-def appended(targets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``targets`` (note_id, content) with the texts of ``chunks`` (target_id, chunk_index, text) behind."""
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"]), "\n\n")
-    added = chunks.groupBy(F.col("target_id").alias("_id")).agg(texts.alias("_added"))
+    With ``draft_id`` each text comes after a comment that names the draft and the time ``now``; an
+    empty target gets the first text without one.
+    """
+    mark = "\n\n" if draft_id is None else f"\n\n<!-- imported from draft #{draft_id} on {now} -->\n"
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"])
+    added = chunks.groupBy(F.col("target_id").alias("_id")).agg(F.array_join(texts, mark).alias("_added"))
     joined = targets.join(added, F.col("note_id") == F.col("_id"))
-    return joined.select("note_id", F.concat_ws("\n\n", "content", "_added").alias("content"))
+    empty = F.coalesce("content", F.lit("")) == ""
+    return joined.select("note_id", F.when(empty, F.col("_added")).otherwise(F.concat("content", F.lit(mark), "_added")).alias("content"))
 
 
 def resolve_merges(target: dict[int, int]) -> dict[int, int | None]:
@@ -27,30 +42,174 @@ def resolve_merges(target: dict[int, int]) -> dict[int, int | None]:
 
 
 def parents_by_title(chunks: DataFrame) -> DataFrame:
-    """``chunk_index`` and ``parent_index``: the first chunk of the draft whose title is a part, by
-    words, of a longer title; null without one.
+    """``chunk_index`` and ``parent_index``: the first chunk of the draft whose title is shorter (in
+    bytes) and either a part of the title by words, or has a word of four bytes or more of which a
+    word of the title is the start, or the other way round; null without one.
+
+    Chunks meet by words they share, or by words that start alike, never all with all: a title that
+    is a part of another shares its first word with it, and a word that starts another one shares
+    its own characters with it, so a child's words are looked up with all their starts.
     """
-    words = chunks.select("draft_id", "chunk_index", F.array_distinct(F.split(F.lower("title"), r"\s+")).alias("w"), F.char_length("title").alias("n"))
-    other = words.select("draft_id", F.col("chunk_index").alias("parent_index"), F.col("w").alias("pw"), F.col("n").alias("pn"))
-    pairs = words.join(other, "draft_id").where((F.col("n") > F.col("pn")) & (F.size(F.array_except("pw", "w")) == 0))
-    first = pairs.groupBy("draft_id", "chunk_index").agg(F.min("parent_index").alias("parent_index"))
+    # Kept, since it is read from both sides; a title without words is a part of any longer title.
+    rows = kept(chunks.select("draft_id", "chunk_index", F.octet_length("title").alias("n"), F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != "")).alias("w")))
+    parent = rows.select(F.col("draft_id").alias("_draft"), F.col("chunk_index").alias("parent_index"), F.col("n").alias("_n"), F.col("w").alias("_w"))
+    starts = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.substr(w, F.lit(1), i))
+    all_starts = lambda words: F.array_distinct(F.flatten(F.transform(words, starts)))
+    long = F.filter("_w", lambda w: F.octet_length(w) >= 4)
+
+    shorter = (F.col("draft_id") == F.col("_draft")) & (F.col("n") > F.col("_n"))
+    by_first = rows.withColumn("_key", F.explode("w")).join(parent.withColumn("_first", F.col("_w")[0]), shorter & (F.col("_key") == F.col("_first")))
+    by_first = by_first.where(F.size(F.array_except("_w", "w")) == 0)
+    whole = parent.withColumn("_key", F.explode(long))
+    longer = rows.withColumn("_start", F.explode(all_starts(F.col("w")))).join(whole, shorter & (F.col("_start") == F.col("_key")))
+    begun = parent.withColumn("_start", F.explode(all_starts(long)))
+    other = rows.withColumn("_key", F.explode("w")).join(begun, shorter & (F.col("_start") == F.col("_key")))
+    wordless = rows.join(parent.where(F.size("_w") == 0), shorter)
+    ids = ["draft_id", "chunk_index", "parent_index"]
+    found = by_first.select(*ids).union(longer.select(*ids)).union(other.select(*ids)).union(wordless.select(*ids))
+    first = found.groupBy("draft_id", "chunk_index").agg(F.min("parent_index").alias("parent_index"))
     return chunks.select("draft_id", "chunk_index").join(first, ["draft_id", "chunk_index"], "left")
 
 
 def creation_levels(plan: DataFrame, most_levels: int = 100) -> DataFrame:
-    """``chunk_index``, ``level``: rounds in which children are made; those in a cycle go to the root."""
+    """``chunk_index``, ``level``: rounds in which children are made; those in a cycle go to the root.
+    Each round is kept, so that it isn't computed again for the next one."""
     rows = plan.select("chunk_index", "parent_index")
-    done = rows.where("parent_index IS NULL").select("chunk_index", F.lit(0).cast("long").alias("level"))
-    last = done
+    last = kept(rows.where("parent_index IS NULL").select("chunk_index", F.lit(0).cast("long").alias("level")))
+    done = [last]
     for level in range(1, most_levels):
-        last = rows.join(last.select(F.col("chunk_index").alias("_p")), F.col("parent_index") == F.col("_p")).select("chunk_index", F.lit(level).cast("long").alias("level"))
+        above = last.select(F.col("chunk_index").alias("_p"))
+        last = kept(rows.join(above, F.col("parent_index") == F.col("_p")).select("chunk_index", F.lit(level).cast("long").alias("level")))
         if last.isEmpty():
             break
-        done = done.unionByName(last)
-    cyclic = rows.join(done, "chunk_index", "left_anti").select("chunk_index", F.lit(0).cast("long").alias("level"))
-    return done.unionByName(cyclic)
+        done.append(last)
+    made = reduce(DataFrame.unionByName, done)
+    cyclic = rows.join(made, "chunk_index", "left_anti").select("chunk_index", F.lit(0).cast("long").alias("level"))
+    return made.unionByName(cyclic)
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+#: What a recommendation may say; every field but the action may be missing.
+RECOMMENDATION = ("action string, target_note_id long, target_section_id long, parent_note_id long, parent_chunk_index long, new_note_title string, "
+                  "chunk_index long, merge_target_chunk_index long, tags array<string>, confidence double, reason string")
+
+
+def decoded(answers: DataFrame, column: str = "recommendation") -> DataFrame:
+    """``answers`` with a recommendation's fields in place of its JSON text.
+
+    An action without what it needs, an unknown one and a broken text are ``skip``.  A parent chunk
+    is the negative number of its place, -1 for the first; the target of a merge may have either name.
+    """
+    x = F.from_json(column, RECOMMENDATION)
+    rows = answers.withColumn("_x", x)
+    target = F.coalesce("_x.chunk_index", "_x.merge_target_chunk_index")
+    complete = (
+        ((F.col("_x.action") == "append") & F.col("_x.target_note_id").isNotNull())
+        | ((F.col("_x.action") == "create_child") & F.col("_x.new_note_title").isNotNull())
+        | ((F.col("_x.action") == "merge_with_chunk") & target.isNotNull())
+    )
+    action = F.when(F.coalesce(complete, F.lit(False)), F.col("_x.action")).otherwise("skip")
+    rows = rows.withColumn("action", action)
+    only = lambda kind, value: F.when(F.col("action") == kind, value)
+    return rows.select(
+        *[c for c in answers.columns if c != column],
+        "action",
+        only("append", F.col("_x.target_note_id")).alias("target_note_id"),
+        only("create_child", F.coalesce("_x.parent_note_id", -F.col("_x.parent_chunk_index") - 1)).alias("parent_note_id"),
+        only("create_child", F.col("_x.new_note_title")).alias("new_note_title"),
+        only("merge_with_chunk", target).alias("merge_into"),
+        F.col("_x.tags").alias("tags"),
+        F.col("_x.confidence").alias("confidence"),
+        F.coalesce("_x.reason", F.lit("")).alias("reason"),
+    )
+
+
+def candidate_notes(hits: DataFrame, most: int = 3, within: str = "chunk_index") -> DataFrame:
+    """The best notes of each chunk: ``hits`` (``within``, ``note_id``, ``score``) by their note's best score."""
+    best = hits.groupBy(within, "note_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy(within).orderBy(F.desc("score"), "note_id"))
+    return best.withColumn("place", place).where(F.col("place") <= most)
+
+
+def analyzed(chunks: DataFrame, candidates: DataFrame, titles: DataFrame, model) -> DataFrame:
+    """The recommendation for each chunk of a draft (``chunk_index``, ``text``; a few rows), asked for in
+    one prompt that names the candidates (``chunk_index``, ``note_id``); missing answers are ``skip``.
+    """
+    spark = chunks.sparkSession
+    named = candidates.join(titles.select("note_id", "title"), "note_id").groupBy("chunk_index").agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    rows = chunks.join(named, "chunk_index", "left").orderBy("chunk_index").select("chunk_index", "text", "titles").collect()
+    answers = parsed_json(model(distribution([(r[0], r[1], r[2] or []) for r in rows])), list)
+    texts = [(r[0], json.dumps(answers[i]) if i < len(answers) else None) for i, r in enumerate(rows)]
+    found = spark.createDataFrame(texts, f"chunk_index {chunks.schema['chunk_index'].dataType.simpleString()}, recommendation string")
+    return chunks.join(decoded(found), "chunk_index")
+
+
+def merged(plan: DataFrame) -> DataFrame:
+    """``plan`` (``chunk_index``, ``text``, ``action``, ``merge_into``, ...; one draft's few rows) with the
+    texts of merged chunks behind those of the chunks they end in; merges into nothing and in circles skip."""
+    rows = plan.select("chunk_index", "text", "merge_into").orderBy("chunk_index").collect()
+    known = {r[0] for r in rows}
+    wanted = {r[0]: r[2] for r in rows if r[2] is not None and r[2] in known and r[2] != r[0]}
+    ends = resolve_merges(wanted)
+    texts = {r[0]: r[1] or "" for r in rows}
+    joined = {n: [t] if t else [] for n, t in texts.items()}
+    for n, end in ends.items():
+        if end is not None and texts[n]:
+            joined[end].append(texts[n])
+    kind = plan.schema["chunk_index"].dataType.simpleString()
+    new = plan.sparkSession.createDataFrame([(n, "" if n in ends else "\n\n".join(joined[n])) for n in texts], f"_chunk {kind}, _text string")
+    out = plan.join(F.broadcast(new), F.col("chunk_index") == F.col("_chunk"))
+    skips = F.col("action") == "merge_with_chunk"
+    out = out.withColumn("reason", F.when(skips, "Merged into another chunk").otherwise(F.col("reason")))
+    return out.withColumn("text", F.col("_text")).withColumn("action", F.when(skips, "skip").otherwise(F.col("action"))).drop("_chunk", "_text", "merge_into")
+
+
+def applied(tables: dict[str, DataFrame], plan: DataFrame, draft_id: int, now: int, stamp: str) -> dict[str, DataFrame]:
+    """``notes``, ``note_revisions``, ``tags``, ``note_tags`` after a plan: merges, then texts appended to
+    their notes, then children made level by level below notes or below other children (below the
+    root where parents form a circle), all of them pending and tagged.  The draft is archived unless
+    the plan as it was given skips a chunk."""
+    skipped = not plan.where("action = 'skip'").isEmpty()
+    rows = kept(merged(plan))
+    notes, revisions = tables["notes"], tables["note_revisions"]
+    adding = rows.where("action = 'append'")
+    texts = adding.select(F.col("target_note_id").alias("target_id"), "chunk_index", "text")
+    contents = kept(appended(notes.select("note_id", "content"), texts, draft_id, stamp))
+    notes, revisions = store.with_content(notes, revisions, contents, now)
+    notes = store.with_status(notes, contents.select("note_id"), "pending")
+
+    making = rows.where("action = 'create_child'")
+    inside = making.select("chunk_index", F.when(F.col("parent_note_id") < 0, (-F.col("parent_note_id") - 1).cast("long")).alias("parent_index"))
+    known = inside.select(F.col("chunk_index").alias("_known"))
+    lost = F.col("parent_index").isNotNull() & F.col("_known").isNull()
+    inside = inside.join(known, F.col("parent_index") == F.col("_known"), "left").withColumn("parent_index", F.when(~lost, F.col("parent_index"))).drop("_known")
+    levels = kept(creation_levels(inside))
+    made = None
+    for level in range((levels.agg(F.max("level")).first()[0] or 0) + 1):
+        of = making.join(levels.where(F.col("level") == level).select("chunk_index"), "chunk_index")
+        parent = F.when(F.col("parent_note_id") >= 0, F.col("parent_note_id"))
+        if made is not None:
+            ids = made.select((-F.col("chunk_index") - 1).alias("_temp"), F.col("note_id").alias("_id"))
+            of = of.join(ids, F.col("parent_note_id") == F.col("_temp"), "left")
+            parent = F.coalesce(F.col("_id"), parent)
+        new = of.select("chunk_index", F.col("new_note_title").alias("title"), F.col("text").alias("content"), parent.cast("long").alias("parent_note_id"))
+        before = notes
+        notes = kept(store.inserted_notes(before, new.drop("chunk_index"), now))
+        added = notes.join(before.select("note_id"), "note_id", "left_anti").select("note_id", "title", "content")
+        named = kept(new.select("chunk_index", "title", "content").join(added, ["title", "content"]).groupBy("chunk_index").agg(F.min("note_id").alias("note_id")))
+        made = named if made is None else made.unionByName(named)
+
+    ids = adding.select("chunk_index", F.col("target_note_id").alias("note_id"))
+    ids = ids if made is None else ids.unionByName(made)
+    tagged = kept(ids.join(rows.select("chunk_index", F.explode("tags").alias("path"), "confidence"), "chunk_index").withColumn("path", F.lower(F.btrim(F.ltrim("path", F.lit("#"))))))
+    tags, found = resolved(tables["tags"], tagged.select("path"))
+    links = tagged.join(found, "path").select("note_id", "tag_id", F.lit(None).cast("double").alias("confidence"))
+    note_tags = associated(tables["note_tags"], links, "ai", now)
+    if not skipped:
+        draft = rows.sparkSession.createDataFrame([(draft_id,)], "note_id long")
+        notes = store.with_lifecycle(notes, draft, "archived", now)
+    return tables | {"notes": notes, "note_revisions": revisions, "tags": tags, "note_tags": note_tags}

@@ -6,26 +6,37 @@ comparing path prefixes pair by pair.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import bounded, kept
+
 
-def tree_paths(nodes: DataFrame, most_levels: int = 100) -> DataFrame:
+def tree_paths(nodes: DataFrame, most_levels: int = 100, orphans: bool = False) -> DataFrame:
     """``nodes`` (``id``, ``parent_id``, ``name``) reachable from roots, with ``path``, ``depth`` and
-    ``ancestors`` (ids from the root to the node itself).  One join a level, on the level's rows only.
+    ``ancestors`` (ids from the root to the node itself).  One join a level, on the level's rows only,
+    each of them kept, so that no level is computed again for the next one.
+
+    With ``orphans`` a node whose parent isn't among ``nodes`` is a root too.
     """
     root = nodes.where("parent_id IS NULL")
+    if orphans:
+        known = nodes.select(F.col("id").alias("_known"))
+        root = nodes.join(known, F.col("parent_id") == F.col("_known"), "left_anti")
     level = root.select("id", "parent_id", "name", F.col("name").alias("path"), F.lit(0).cast("long").alias("depth"), F.array("id").alias("ancestors"))
-    found = level
+    level = kept(level)
+    found = [level]
     for _ in range(most_levels):
         above = level.select(F.col("id").alias("_above"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), F.col("ancestors").alias("_ancestors"))
-        level = nodes.join(above, F.col("parent_id") == F.col("_above")).select(
+        level = kept(nodes.join(above, F.col("parent_id") == F.col("_above")).select(
             "id", "parent_id", "name", F.concat_ws("/", "_path", "name").alias("path"),
             (F.col("_depth") + 1).alias("depth"), F.concat("_ancestors", F.array("id")).alias("ancestors"),
-        )
+        ))
         if level.isEmpty():
-            return found
-        found = found.unionByName(level)
+            return reduce(DataFrame.unionByName, found)
+        found.append(level)
     raise ValueError("the tree is deeper than most_levels, or has a cycle")
 
 
@@ -53,14 +64,18 @@ def due_counts(schedules: DataFrame, cards: DataFrame, now: Column) -> DataFrame
 
 
 def repeat_tree(paths: DataFrame, schedules: DataFrame, cards: DataFrame, now: Column) -> DataFrame:
-    """``id``, ``path``, own and subtree numbers of due and of all cards, ordered by path."""
-    planned = schedules.where("target_type = 'card'").select("target_id", "next_review")
+    """``id``, ``name``, ``parent_id``, ``path``, ``depth``, own and subtree numbers of due and of all
+    cards and own new ones, ordered by path."""
+    planned = schedules.where("target_type = 'card'")
+    state = F.col("state") if "state" in schedules.columns else F.lit(None).cast("string")
+    planned = planned.select("target_id", "next_review", state.alias("state"))
     live = cards.where("status <> 'suspended'").join(planned, F.col("card_id") == F.col("target_id"), "left")
-    own = live.groupBy(F.col("note_id").alias("id")).agg(F.count_if(F.col("next_review") <= now).alias("due"), F.count(F.lit(1)).alias("total"))
+    counts = [F.count_if(F.col("next_review") <= now).alias("due"), F.count_if(F.col("state") == "new").alias("new"), F.count(F.lit(1)).alias("total")]
+    own = live.groupBy(F.col("note_id").alias("id")).agg(*counts)
     below = roll_up(paths, own, "due", "total").select("id", F.col("due").alias("subtree_due"), F.col("total").alias("subtree_total"))
-    joined = paths.select("id", "path").join(own, "id", "left").join(below, "id")
+    joined = paths.select("id", "name", "parent_id", "path", "depth").join(own, "id", "left").join(below, "id")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(f"own_{c}")
-    return joined.select("id", "path", zero("due"), zero("total"), "subtree_due", "subtree_total").orderBy("path")
+    return joined.select("id", "name", "parent_id", "path", "depth", zero("due"), zero("new"), zero("total"), "subtree_due", "subtree_total").orderBy("path")
 
 
 def tags_of_strings(paths: DataFrame) -> DataFrame:
@@ -85,11 +100,13 @@ def moved_closure(closure_rows: DataFrame, moved: int, new_parent: int) -> DataF
     subtree = closure_rows.where(F.col("ancestor_id") == moved).select(F.col("descendant_id").alias("_d"), F.col("depth").alias("_below"))
     if not subtree.where(F.col("_d") == new_parent).isEmpty():
         raise ValueError("a tag can't move below itself")
-    inside = closure_rows.join(subtree.select("_d"), F.col("descendant_id") == F.col("_d"), "left_semi")
-    cut = inside.join(subtree.select("_d"), F.col("ancestor_id") == F.col("_d"), "left_anti")
+    subtree = kept(subtree)
+    inside = closure_rows.join(bounded(subtree.select("_d")), F.col("descendant_id") == F.col("_d"), "left_semi")
+    cut = inside.join(bounded(subtree.select("_d")), F.col("ancestor_id") == F.col("_d"), "left_anti")
     left = closure_rows.join(cut, ["ancestor_id", "descendant_id"], "left_anti")
     above = closure_rows.where(F.col("descendant_id") == new_parent).select("ancestor_id", F.col("depth").alias("_above"))
-    added = above.crossJoin(F.broadcast(subtree)).select("ancestor_id", F.col("_d").alias("descendant_id"), (F.col("_above") + F.col("_below") + 1).alias("depth"))
+    # The new parent has as many ancestors as the tree has levels above it, however large the subtree is.
+    added = subtree.crossJoin(F.broadcast(above)).select("ancestor_id", F.col("_d").alias("descendant_id"), (F.col("_above") + F.col("_below") + 1).alias("depth"))
     return left.unionByName(added)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults as d
@@ -54,6 +56,60 @@ def keyword_search(fragments: DataFrame, query: str, limit: int, key: str = "fra
     return hits.select(key, "bm25", (F.row_number().over(_everything().orderBy("bm25", key)) - 1).cast("long").alias("rank"))
 
 
+def keyword_search_batch(fragments: DataFrame, queries: dict[int, str], limit: int, key: str = "fragment_id", text: str = "clean_text", live: str | None = None) -> DataFrame:
+    """``query``, ``key``, ``bm25``, ``rank`` (from 0) of the best ``limit`` fragments of each of a few
+    queries, in the same two passes over the fragments however many queries there are.
+
+    ``live`` names a boolean column: fragments without it count in the statistics, but aren't found.
+    """
+    tokens = {n: [t.lower() for t in query_tokens(q) if t not in ("AND", "OR", "NOT")] for n, q in queries.items()}
+    terms = sorted({t for ts in tokens.values() for t in ts if len(t) >= 3})
+    kind = fragments.schema[key].dataType.simpleString()
+    if not terms:
+        return fragments.sparkSession.createDataFrame([], f"query int, {key} {kind}, bm25 double, rank long")
+    value = F.coalesce(F.col(text), F.lit(""))
+    lowered = F.lower(value)
+    tf = [occurrences(lowered, t).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    counted = fragments.select(key, F.greatest(F.char_length(value) - 2, F.lit(0)).alias("_length"), (F.col(live) if live else F.lit(True)).alias("_live"), *tf)
+    totals = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_length").alias("_mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
+
+    def part(i: int) -> Column:
+        df, f = F.col(f"_df{i}"), F.col(f"_tf{i}")
+        idf = F.ln((F.col("_n") - df + 0.5) / (df + 0.5))
+        return F.when(idf > 0, idf).otherwise(F.lit(d.BM25_LEAST_IDF)) * f * (d.BM25_K1 + 1) / (f + d.BM25_K1 * (1 - d.BM25_B + d.BM25_B * F.col("_length") / F.col("_mean")))
+
+    def scored(n: int) -> Column:
+        at = [terms.index(t) for t in tokens[n] if t in terms]
+        matched = sum((F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0) for i in at), F.lit(0))
+        score = sum((part(i) for i in at), F.lit(0.0))
+        return F.struct(F.lit(n).alias("query"), (-score).alias("bm25"), (matched == len(tokens[n])).alias("every"), (matched > 0).alias("any"))
+
+    held = counted.where("_live").crossJoin(F.broadcast(totals))  # one row
+    rows = held.select(key, F.inline(F.array(*[scored(n) for n in tokens]))).where(F.col("any"))
+    order = Window.partitionBy("query").orderBy(F.desc("every"), "bm25", key)
+    best = rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit)
+    hits = best.withColumn("_any", F.max("every").over(Window.partitionBy("query"))).where(F.col("every") | ~F.col("_any"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("bm25", key)) - 1
+    return hits.select("query", key, "bm25", rank.cast("long").alias("rank"))
+
+
+def either(query: str) -> str:
+    """The tokens of a query joined by OR."""
+    return " OR ".join(query_tokens(query))
+
+
+def snippet(text: Column, query: str, around: int = 16) -> Column:
+    """The text around the first token that matches, every match marked."""
+    terms = "|".join(re.escape(t) for t in query_tokens(query))
+    lowered = [F.instr(F.lower(text), t.lower()) for t in query_tokens(query)]
+    first = F.coalesce(F.least(*[F.when(p > 0, p) for p in lowered]) if len(lowered) > 1 else F.when(lowered[0] > 0, lowered[0]), F.lit(1))
+    begin = F.greatest(first - around, F.lit(1))
+    cut = F.substr(text, begin, F.lit(2 * around))
+    marked = F.regexp_replace(cut, f"(?i)({terms})", "<b>$1</b>")
+    behind = F.when(begin + 2 * around <= F.char_length(text), "…").otherwise("")
+    return F.concat(F.when(begin > 1, "…").otherwise(""), marked, behind)
+
+
 def _everything():
     """A window over rows that a limit has bounded already."""
     from pyspark.sql import Window

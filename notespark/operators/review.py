@@ -6,6 +6,8 @@ is folded over a schedule's reviews in time order with ``aggregate``, without le
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,26 @@ def step_sql(s: str, dif: str, days: str, rating: str) -> tuple[str, str]:
     return stability, difficulty
 
 
+def next_memory(s: float | None, dif: float | None, days: int, rating: int) -> tuple[float, float]:
+    """The same step as ``step_sql`` on plain numbers, for streams that keep states."""
+    w = d.FSRS_WEIGHTS
+    hold = lambda low, x, high: max(low, min(high, x))
+    first = lambda g: hold(1.0, w[4] - math.exp(w[5] * (g - 1)) + 1, 10.0)
+    if s is None:
+        return hold(1e-3, w[hold(1, rating, 4) - 1], 36500.0), first(rating)
+    recall = (1 + (0.9 ** (-1 / w[20]) - 1) * days / s) ** -w[20]
+    if days == 0:
+        growth = math.exp(w[17] * (rating - 3 + w[18])) * s ** -w[19]
+        after = s * (max(growth, 1.0) if rating >= GOOD else growth)
+    elif rating == AGAIN:
+        after = min(w[11] * dif ** -w[12] * ((s + 1) ** w[13] - 1) * math.exp(w[14] * (1 - recall)), s / math.exp(w[17] * w[18]))
+    else:
+        bonus = {HARD: w[15], EASY: w[16]}.get(rating, 1.0)
+        after = s * (1 + math.exp(w[8]) * (11 - dif) * s ** -w[9] * (math.exp(w[10] * (1 - recall)) - 1) * bonus)
+    moved = dif - w[6] * (rating - 3) * (10 - dif) / 9
+    return hold(1e-3, after, 36500.0), hold(1.0, w[7] * first(4) + (1 - w[7]) * moved, 10.0)
+
+
 def fold_reviews(reviews: DataFrame) -> DataFrame:
     """``reviews``: schedule_id, reviewed_at (seconds), review_id, rating.  One row a schedule:
     stability, difficulty, reps, lapses, state, last_reviewed, next_review.

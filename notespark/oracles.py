@@ -9,7 +9,7 @@ def _tf(term: str) -> str:
     return f"CAST((length(lower(text)) - length(replace(lower(text), '{term}', ''))) / {len(term)} AS BIGINT)"
 
 
-def _bm25(terms: list[str], every: bool, columns: str = "doc_id AS fragment_id, round(bm25, 6) AS bm25, rank", limit: int = 20) -> str:
+def _bm25(terms: list[str], every: bool, columns: str = "doc_id AS fragment_id, round(bm25, 6) AS bm25, rank", limit: int = 20, among: str = "true") -> str:
     """Scores of fragments that hold every (or any) term, ranked."""
     tfs = ", ".join(f"{_tf(t)} AS tf{i}" for i, t in enumerate(terms))
     dfs = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
@@ -19,7 +19,7 @@ def _bm25(terms: list[str], every: bool, columns: str = "doc_id AS fragment_id,
     return f"""
 WITH c AS (SELECT doc_id, greatest(length(text) - 2, 0) AS len, {tfs} FROM documents),
 s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS mean, {dfs} FROM c),
-b AS (SELECT doc_id, -({score}) AS bm25 FROM c, s WHERE {held}),
+b AS (SELECT doc_id, -({score}) AS bm25 FROM c, s WHERE ({held}) AND {among}),
 r AS (SELECT *, row_number() OVER (ORDER BY bm25, doc_id) - 1 AS rank FROM b)
 SELECT {columns} FROM r WHERE rank < {limit}"""
 
@@ -29,7 +29,7 @@ _ONES = "[" + ", ".join(["1.0"] * 64) + "]::DOUBLE[]"
 _V = "CAST(embedding AS DOUBLE[])"
 
 _TWO = """
-WITH e AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS a, round(CAST(embedding[2] AS DOUBLE), 6) AS b FROM embeddings WHERE vec_id < 200),
+WITH e AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS a, round(CAST(embedding[2] AS DOUBLE), 6) AS b FROM embeddings),
 x AS (SELECT vec_id, row_number() OVER (ORDER BY a DESC, vec_id) - 1 AS rank FROM e),
 y AS (SELECT vec_id, row_number() OVER (ORDER BY b DESC, vec_id) - 1 AS rank FROM e),
 u AS (SELECT vec_id, rank, 0 AS list FROM x WHERE rank < 50 UNION ALL SELECT vec_id, rank, 1 FROM y WHERE rank < 50)"""
@@ -37,27 +37,31 @@ u AS (SELECT vec_id, rank, 0 AS list FROM x WHERE rank < 50 UNION ALL SELECT vec
 _SCORED = "SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM embeddings"
 
 _GRID = """
-WITH q AS (SELECT vec_id AS query, CAST(label AS VARCHAR) AS expected, embedding AS qv, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.9 END AS relevance FROM embeddings WHERE vec_id < 12),
+WITH q AS (SELECT vec_id AS query, CAST(label AS VARCHAR) AS expected, embedding AS qv, CASE WHEN vec_id % 40 = 0 THEN 1.0 ELSE 0.9 END AS relevance FROM embeddings WHERE vec_id % 20 = 0),
 p AS (SELECT query, expected, vec_id AS doc, CAST(label AS VARCHAR) AS title,
-    round(list_dot_product(CAST(embedding[1:32] AS DOUBLE[]), CAST(qv[1:32] AS DOUBLE[])), 6) AS a,
-    round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS b
-  FROM embeddings, q WHERE vec_id BETWEEN 20 AND 119),
+    list_dot_product(CAST(embedding[1:32] AS DOUBLE[]), CAST(qv[1:32] AS DOUBLE[])) AS a,
+    list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) AS b
+  FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY a DESC, doc) - 1 AS kr, row_number() OVER (PARTITION BY query ORDER BY b DESC, doc) - 1 AS vr FROM p),
-h AS (SELECT query, expected, doc, title, CASE WHEN kr < 20 THEN kr END AS kr, CASE WHEN vr < 20 THEN vr END AS vr FROM r WHERE kr < 20 OR vr < 20),
-g AS (SELECT * FROM (SELECT unnest([0.0, 1.0, 2.0])::DOUBLE AS w), (SELECT unnest([10.0, 60.0])::DOUBLE AS k), (SELECT unnest([0.0, 0.05])::DOUBLE AS tb)),
-f AS (SELECT w, k, tb, query, expected, doc, title, coalesce(1.0 / (k + kr + 1), 0) + coalesce(w / (k + vr + 1), 0) + least((doc % 3) * tb, 0.5) AS score FROM h, g),
+h AS (SELECT query, expected, doc, title, CASE WHEN kr < 50 THEN kr END AS kr, CASE WHEN vr < 50 THEN vr END AS vr FROM r WHERE kr < 50 OR vr < 50),
+g AS (SELECT * FROM (SELECT unnest([0.0, 0.2, 0.5, 0.8, 1.0, 1.2, 1.5, 1.8, 2.0, 2.5, 3.0]::DOUBLE[]) AS w), (SELECT unnest([10.0, 20.0, 40.0, 60.0, 80.0, 100.0]::DOUBLE[]) AS k),
+  (SELECT unnest([0.0, 0.01, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3]::DOUBLE[]) AS tb)),
+e AS (SELECT w, k, tb, query, expected, doc, title, CAST(coalesce(1.0 / (k + kr + 1), 0) + coalesce(w / (k + vr + 1), 0) AS DOUBLE) AS fused FROM h, g),
+f AS (SELECT *, fused + least((doc % 3) * tb, CAST(0.5 AS DOUBLE)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY w, k, tb, query ORDER BY fused DESC, doc) AS place FROM e) WHERE place <= 50),
 o AS (SELECT *, row_number() OVER (PARTITION BY w, k, tb, query ORDER BY score DESC, doc) - 1 AS rank FROM f),
 b AS (SELECT w, k, tb, query, min(rank) AS rank, min_by(score, rank) AS score FROM o WHERE lower(title) = lower(expected) GROUP BY ALL),
-m AS (SELECT g.w, g.k, g.tb, round(coalesce((SELECT sum(relevance / (rank + 1)) FROM b JOIN q USING (query) WHERE b.w = g.w AND b.k = g.k AND b.tb = g.tb), 0) / (SELECT count(*) FROM q), 6) AS mrr FROM g)"""
+s AS (SELECT w, k, tb, sum(relevance / (rank + 1)) AS gain FROM b JOIN q USING (query) GROUP BY ALL),
+m AS (SELECT g.w, g.k, g.tb, round(CAST(coalesce(gain, 0) / (SELECT count(*) FROM q) AS DOUBLE), 6) AS mrr FROM g LEFT JOIN s ON g.w = s.w AND g.k = s.k AND g.tb = s.tb)"""
 
 _MARKED = "(SELECT doc_id, concat('## ', replace(text, ' ', '  '), chr(10), chr(10), '- **bold** [label](http://x) and [[note|alias]]', chr(10), '3. item `code`') AS text FROM documents)"
-_LABELS = [(r"\[\[[^\]|]*\|([^\]]*)\]\]", r"\1"), (r"\[\[([^\]]*)\]\]", r"\1"), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1")]
-_LISTS = [(r"(?m)^[ \t]*[-*+][ \t]+", "")]
-_NUMBERS = [(r"(?m)^[ \t]*[0-9]+[.)][ \t]+", "")]
-_HEADINGS = [(r"(?m)^[ \t]*#{1,6}[ \t]+", "")]
+_LABELS = [(r"\[\[[^\]|]+\|([^\]]+)\]\]", r"\1"), (r"\[\[([^\]|]+)\]\]", r"\1"), (r"\[([^\]]+)\]\([^\)]+\)", r"\1")]
+_LISTS = [(r"(?m)^\s*[-+*]\s+", "")]
+_NUMBERS = [(r"(?m)^\s*\d+\.\s+", "")]
+_HEADINGS = [(r"(?m)^#{1,6}\s+", "")]
 _BLANKS = [(r"\n\s*\n", "\n")]
-_RULES = [(r"(?m)^[ \t]*(-{3,}|\*{3,}|_{3,})[ \t]*$", "")]
-_EMPHASIS = [(p, r"\1") for p in (r"\*\*([^*\n]+)\*\*", r"~~([^~\n]+)~~", r"==([^=\n]+)==", r"`([^`\n]+)`", r"\*([^*\n]+)\*")]
+_RULES = [(r"(?m)^(?:\*{3,}|-{3,}|_{3,})\s*$", "")]
+_EMPHASIS = [(f"{m}(.+?){m}", r"\1") for m in (r"\*\*", "__", "~~", "==", "`")]
+_EMPHASIS += [(rf"(^|\s){m}({other}+){m}(\s|$)", r"\1\2\3") for m, other in (("_", "[^_]"), (r"\*", "[^*]"))]
 _LATEX = [(r"(?s)\$\$.*?\$\$", ""), (r"\$[^$\n]+\$", "")]
 
 
@@ -103,8 +107,8 @@ closed AS (SELECT a AS ancestor_id, id AS descendant_id, depth - (list_position(
 _NOW = 820454400
 _DUE = f"""
 cards AS (SELECT o_orderkey AS card_id, o_custkey AS note_id, CASE WHEN o_orderstatus = 'F' THEN 'suspended' ELSE 'active' END AS status FROM orders),
-sched AS (SELECT 'card' AS tt, o_orderkey AS tid, CASE WHEN o_orderkey % 5 > 0 THEN CAST(epoch(o_orderdate) AS BIGINT) END AS nr FROM orders
-  UNION ALL SELECT 'note', o_custkey, CAST(epoch(o_orderdate) AS BIGINT) FROM orders WHERE o_orderkey % 11 = 0)"""
+sched AS (SELECT 'card' AS tt, o_orderkey AS tid, CASE WHEN o_orderkey % 5 > 0 THEN CAST(epoch(o_orderdate) AS BIGINT) END AS nr, CASE WHEN o_orderkey % 5 > 0 THEN 'review' ELSE 'new' END AS state FROM orders
+  UNION ALL SELECT 'note', o_custkey, CAST(epoch(o_orderdate) AS BIGINT), NULL FROM orders WHERE o_orderkey % 11 = 0)"""
 
 _TAGS = """
 s AS (SELECT DISTINCT lower(trim(concat_ws('/', replace(p_type, ' ', '/'), p_brand))) AS full_path FROM part),
@@ -126,6 +130,17 @@ b AS (SELECT doc_id AS fragment_id, s + least(0.05 * len(list_filter(['heat', 't
   FROM o JOIN documents USING (doc_id))
 SELECT fragment_id, round(CAST(score AS DOUBLE), 6) AS score, row_number() OVER (ORDER BY score DESC, fragment_id) - 1 AS rank FROM b"""
 
+_FOLD = f"""WITH RECURSIVE r AS (SELECT user_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS done, CASE WHEN event_id % 7 = 0 THEN 1 ELSE event_id % 3 + 2 END AS rating, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+      f AS (SELECT id, n, done, CAST({_S0} AS DOUBLE) AS s, CAST({_D0} AS DOUBLE) AS d, CAST(1 AS BIGINT) AS reps, CAST(CASE WHEN rating = 1 THEN 1 ELSE 0 END AS BIGINT) AS lapses FROM r WHERE n = 1
+        UNION ALL SELECT r.id, r.n, r.done, CAST({_S} AS DOUBLE), CAST({_D} AS DOUBLE), f.reps + 1, f.lapses + CASE WHEN r.rating = 1 THEN 1 ELSE 0 END FROM f JOIN r ON r.id = f.id AND r.n = f.n + 1)
+      SELECT id AS schedule_id, round(arg_max(s, n), 4) AS stability, round(arg_max(d, n), 4) AS difficulty, max(reps) AS reps, max(lapses) AS lapses, CASE WHEN max(n) = 1 THEN 'learning' ELSE 'review' END AS state, arg_max(done, n) AS last_reviewed FROM f GROUP BY id"""
+
+#: The fragment table of the store's queries, and numbered tags.
+_STORE = f"f AS (SELECT doc_id * 100000 + pos AS fragment_id, doc_id AS note_id, pos AS order_index, sha256(line) AS h FROM {_LINE} WHERE doc_id % 5 <> 0)"
+_IDS = "ids AS (SELECT row_number() OVER (ORDER BY depth, path) AS tag_id, path, depth, name FROM tags)"
+
+_MARK = "(chr(10) || chr(10) || '<!-- imported from draft #7 on 2024-01-01T00:00:00+00:00 -->' || chr(10))"
+
 ORACLES = {
     "hybrid_search": _HYBRID,
     "kw_bm25_single": _bm25(["heat"], True),
@@ -134,7 +149,7 @@ ORACLES = {
     "kw_match_counts": "SELECT t AS token, count(*) FILTER (contains(lower(text), t)) AS n FROM documents, (SELECT unnest(['the', 'license', 'tion']) AS t) GROUP BY t",
     "vec_topk_dot": f"SELECT vec_id, round(s, 6) AS similarity, row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS rank FROM (SELECT vec_id, list_dot_product({_V}, {_Q64}) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10)",
     "vec_topk_batch": f"""SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) - 1 AS rank
-      FROM (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id < 20)) WHERE rank < 5""",
+      FROM (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank < 5""",
     "vec_cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "l2_norms": f"SELECT vec_id, round(2 * sqrt(list_dot_product({_V}, {_V})), 6) AS length, round(CAST(1 AS DOUBLE), 6) AS unit_length FROM embeddings",
     "vec_dim_guard": "SELECT count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0",
@@ -151,7 +166,7 @@ ORACLES = {
       SELECT vec_id, rank, round(1 - CAST(row_number() OVER (ORDER BY place NULLS LAST, rank) - 1 AS DOUBLE) / 25, 6) AS score FROM t""",
     "mrr_eval": _GRID + " SELECT * FROM m",
     "grid_search_best": _GRID + " SELECT * FROM m ORDER BY mrr DESC, w, k, tb LIMIT 1",
-    "min_score_calibrated": _GRID + " SELECT round(CASE WHEN min(score) IS NULL THEN 0.005 ELSE greatest(least(min(score) * 0.9, 0.05), 0.001) END, 6) AS min_score FROM b WHERE w = 1 AND k = 60 AND tb = 0 AND rank <= 5",
+    "min_score_calibrated": _GRID + " SELECT round(CASE WHEN min(score) IS NULL THEN 0.005 ELSE greatest(least(min(score) * 0.9, 0.05), 0.001) END, 6) AS min_score FROM b WHERE w = 1.5 AND k = 60 AND tb = 0.05 AND rank <= 5",
     "token_counts": f"SELECT doc_id, {_TOKENS.format('text')} AS n FROM documents",
     "clean_markdown": _hashed("trim(lower(" + _replaced(_RULES + _NUMBERS + _LISTS + _LABELS + _EMPHASIS + _HEADINGS + _BLANKS) + "), ' ' || chr(9) || chr(10) || chr(13))"),
     "collapse_blank_lines": _hashed(_replaced(_BLANKS)),
@@ -164,7 +179,8 @@ ORACLES = {
     "pack_token_budget": _packed(_TOKENS.format("line"), "trim(line) <> ''", 256, ""),
     "dedup_fragments": f"SELECT note_id, CAST(order_index AS INTEGER) AS order_index, hash FROM (SELECT *, row_number() OVER (PARTITION BY note_id, hash ORDER BY order_index) AS n FROM {_LINES}) WHERE n = 1",
     "content_hash_dups": "SELECT sha256(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "incremental_diff": f"""WITH o AS (SELECT * FROM {_LINES} WHERE note_id % 5 <> 0), n AS (SELECT note_id, order_index, CASE WHEN order_index = 2 THEN sha256(hash) ELSE hash END AS hash FROM {_LINES} WHERE note_id % 7 <> 0 AND order_index < 6)
+    "incremental_diff": f"""WITH o AS (SELECT * FROM {_LINES} WHERE note_id % 5 <> 0), n AS (SELECT note_id, order_index, CASE WHEN order_index % 5 = 2 THEN sha256(hash) ELSE hash END AS hash FROM {_LINES} WHERE note_id % 7 <> 0 AND order_index % 11 <> 10
+        UNION ALL SELECT note_id, order_index + 1000000, hash FROM {_LINES} WHERE note_id % 7 <> 0 AND order_index % 13 = 0)
       SELECT note_id, CASE WHEN o.hash IS NULL THEN 'insert' WHEN n.hash IS NULL THEN 'delete' WHEN o.hash = n.hash THEN 'same' ELSE 'update' END AS change, count(*) AS n FROM o FULL JOIN n USING (note_id, order_index) GROUP BY ALL""",
     "needs_indexing": f"SELECT doc_id, life <> 'deleted' AND (st IN ('failed', 'pending') OR model IS DISTINCT FROM 'm1' OR ver IS DISTINCT FROM '1') AS needs FROM {_NOTES}",
     "drift_stale": f"SELECT doc_id FROM {_NOTES} WHERE st = 'indexed' AND NOT (model IS NOT DISTINCT FROM 'm1' AND dim IS NOT DISTINCT FROM 1024)",
@@ -177,9 +193,9 @@ ORACLES = {
       own AS (SELECT tid AS id, count(*) AS due FROM sched WHERE tt = 'note' AND nr <= {_NOW} GROUP BY tid UNION ALL SELECT note_id, count(*) FROM sched JOIN cards ON tid = card_id WHERE tt = 'card' AND nr <= {_NOW} AND status <> 'suspended' GROUP BY note_id)
       SELECT ancestor_id AS id, CAST(coalesce(sum(due), 0) AS BIGINT) AS due FROM closed LEFT JOIN own ON descendant_id = own.id GROUP BY ancestor_id""",
     "repeat_mode_tree": f"""WITH RECURSIVE {_TREE}, {_DUE},
-      own AS (SELECT note_id AS id, count(*) FILTER (nr <= {_NOW}) AS due, count(*) AS total FROM cards LEFT JOIN (SELECT * FROM sched WHERE tt = 'card') ON tid = card_id WHERE status <> 'suspended' GROUP BY note_id),
+      own AS (SELECT note_id AS id, count(*) FILTER (nr <= {_NOW}) AS due, count(*) FILTER (state = 'new') AS new, count(*) AS total FROM cards LEFT JOIN (SELECT * FROM sched WHERE tt = 'card') ON tid = card_id WHERE status <> 'suspended' GROUP BY note_id),
       sub AS (SELECT ancestor_id AS id, CAST(coalesce(sum(due), 0) AS BIGINT) AS subtree_due, CAST(coalesce(sum(total), 0) AS BIGINT) AS subtree_total FROM closed LEFT JOIN own ON descendant_id = own.id GROUP BY 1)
-      SELECT t.id, path, coalesce(due, 0) AS own_due, coalesce(total, 0) AS own_total, subtree_due, subtree_total FROM t LEFT JOIN own USING (id) JOIN sub USING (id)""",
+      SELECT t.id, nodes.name AS title, CAST(nodes.parent_id AS BIGINT) AS parent_id, path, depth, coalesce(due, 0) AS own_due, coalesce(new, 0) AS own_new, coalesce(total, 0) AS own_total, subtree_due, subtree_total FROM t JOIN nodes USING (id) LEFT JOIN own USING (id) JOIN sub USING (id)""",
     "due_queue": f"WITH {_DUE} SELECT tid AS schedule_id, nr AS next_review FROM sched WHERE tt = 'card' AND nr <= {_NOW} ORDER BY nr, tid LIMIT 25",
     "due_count": f"WITH {_DUE} SELECT count(*) AS n FROM sched WHERE nr <= {_NOW}",
     "tag_closure_build": f"WITH {_TAGS} SELECT * FROM pairs",
@@ -187,19 +203,56 @@ ORACLES = {
       SELECT path AS tag_id, depth, coalesce(uses, 0) AS uses FROM tags LEFT JOIN u ON path = u.tag_id WHERE starts_with(path, 'brand#1') OR starts_with(name, 'brand#1') ORDER BY uses DESC, depth, path LIMIT 10""",
     "tag_subtree_notes": f"WITH {_TAGS} SELECT DISTINCT p_partkey AS note_id FROM part JOIN pairs ON lower(concat_ws('/', replace(p_type, ' ', '/'), p_brand)) = descendant_id WHERE ancestor_id = 'standard'",
     "tag_inherit_anti": "SELECT p_brand AS tag_id, count(*) AS n FROM (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS f, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey WHERE f % 3 <> 0 OR f IS NULL GROUP BY 1",
-    "tag_move_closure": """WITH RECURSIVE n AS (SELECT r_regionkey + 1000000000 AS id, CASE WHEN r_regionkey = 1 THEN 2000000000 END AS parent FROM region UNION ALL SELECT n_nationkey + 2000000000, n_regionkey + 1000000000 FROM nation),
+    "tag_move_closure": """WITH RECURSIVE n AS (SELECT r_regionkey + 1000000000 AS id, CASE WHEN r_regionkey = 1 THEN 2000000000 END AS parent FROM region UNION ALL SELECT n_nationkey + 2000000000, n_regionkey + 1000000000 FROM nation
+        UNION ALL SELECT c_custkey, c_nationkey + 2000000000 FROM customer),
       c AS (SELECT CAST(id AS BIGINT) AS ancestor_id, CAST(id AS BIGINT) AS descendant_id, CAST(0 AS BIGINT) AS depth FROM n UNION ALL SELECT c.ancestor_id, n.id, c.depth + 1 FROM c JOIN n ON n.parent = c.descendant_id) SELECT * FROM c""",
     "hashtag_extract": r"SELECT doc_id, array_to_string(regexp_extract_all('#a/' || lang || ' #x-y_1, # no #' || source, '#([a-zA-Z0-9_\-/]+)', 1), '|') AS tags FROM documents",
     "json_payload": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "review_state_fold": f"""WITH RECURSIVE r AS (SELECT user_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS done, CASE WHEN event_id % 7 = 0 THEN 1 ELSE event_id % 3 + 2 END AS rating, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
-      f AS (SELECT id, n, done, CAST({_S0} AS DOUBLE) AS s, CAST({_D0} AS DOUBLE) AS d, CAST(1 AS BIGINT) AS reps, CAST(CASE WHEN rating = 1 THEN 1 ELSE 0 END AS BIGINT) AS lapses FROM r WHERE n = 1
-        UNION ALL SELECT r.id, r.n, r.done, CAST({_S} AS DOUBLE), CAST({_D} AS DOUBLE), f.reps + 1, f.lapses + CASE WHEN r.rating = 1 THEN 1 ELSE 0 END FROM f JOIN r ON r.id = f.id AND r.n = f.n + 1)
-      SELECT id AS schedule_id, round(arg_max(s, n), 4) AS stability, round(arg_max(d, n), 4) AS difficulty, max(reps) AS reps, max(lapses) AS lapses, CASE WHEN max(n) = 1 THEN 'learning' ELSE 'review' END AS state, arg_max(done, n) AS last_reviewed FROM f GROUP BY id""",
-    "plan_append_concat": "SELECT c_custkey AS note_id, sha256(c_name || chr(10) || chr(10) || string_agg(o_orderpriority, chr(10) || chr(10) ORDER BY o_orderkey, o_orderpriority)) AS h FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name",
+    "review_state_fold": _FOLD,
+    "plan_append_concat": f"SELECT c_custkey AS note_id, sha256(CASE WHEN c_custkey % 5 > 0 THEN c_name || {_MARK} ELSE '' END || string_agg(o_orderpriority, {_MARK} ORDER BY o_orderkey, o_orderpriority)) AS h FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name",
     "heuristic_parent": r"""WITH c AS (SELECT p_partkey % 200 AS draft_id, p_partkey AS chunk_index, concat_ws(' ', p_type, CASE WHEN p_partkey % 3 > 0 THEN p_brand END) AS title FROM part),
       w AS (SELECT *, string_split_regex(lower(title), '\s+') AS w FROM c)
-      SELECT a.draft_id, a.chunk_index, min(b.chunk_index) AS parent_index FROM w a LEFT JOIN w b ON a.draft_id = b.draft_id AND length(a.title) > length(b.title) AND list_has_all(a.w, b.w) GROUP BY ALL""",
+      SELECT a.draft_id, a.chunk_index, min(b.chunk_index) AS parent_index FROM w a LEFT JOIN w b ON a.draft_id = b.draft_id AND octet_length(encode(a.title)) > octet_length(encode(b.title))
+        AND (list_has_all(a.w, b.w) OR len(list_filter(b.w, lambda x: octet_length(encode(x)) >= 4 AND len(list_filter(a.w, lambda y: starts_with(y, x) OR starts_with(x, y))) > 0)) > 0) GROUP BY ALL""",
     "plan_create_child_levels": "SELECT p_partkey AS chunk_index, CASE WHEN p_partkey % 10 >= 7 THEN 0 ELSE p_partkey % 10 END AS level FROM part",
+    "streaming_reviews": _FOLD,
+    "active_search": " UNION ALL ".join(f"SELECT * FROM ({_bm25(t, e, f'{n} AS query, doc_id AS fragment_id, round(bm25, 6) AS bm25, rank', 20, 'doc_id % 10 <> 0')})" for n, (t, e) in enumerate(((["heat"], True), (["heat", "thing"], True), (["zzqx", "thing"], False)))),
+    "index_apply": f"""WITH {_STORE},
+      n AS (SELECT doc_id AS note_id, pos AS order_index, sha256(CASE WHEN pos % 5 = 2 THEN 'edited ' || line ELSE line END) AS h FROM {_LINE} WHERE doc_id % 7 <> 0 AND doc_id % 3 <> 0 AND pos % 11 <> 10),
+      x AS (SELECT f.fragment_id, coalesce(f.note_id, n.note_id) AS note_id, coalesce(f.order_index, n.order_index) AS order_index, f.h AS old, n.h AS new FROM (SELECT * FROM f WHERE note_id % 3 <> 0) f FULL JOIN n ON f.note_id = n.note_id AND f.order_index = n.order_index)
+      SELECT fragment_id, note_id, order_index, h AS clean_text_hash, fragment_id % 2 = 0 AS has_vector FROM f WHERE note_id % 3 = 0
+      UNION ALL SELECT fragment_id, note_id, order_index, new, fragment_id % 2 = 0 AND old = new FROM x WHERE new IS NOT NULL AND old IS NOT NULL
+      UNION ALL SELECT (SELECT max(fragment_id) FROM f) + row_number() OVER (ORDER BY note_id, order_index), note_id, order_index, new, false FROM x WHERE old IS NULL""",
+    "drift_apply": f"""WITH {_STORE} SELECT d.doc_id AS note_id, CASE WHEN d.doc_id % 9 <> 0 AND d.doc_id % 3 = 0 THEN 'pending' WHEN d.doc_id % 9 = 0 THEN 'indexing' ELSE 'indexed' END AS indexing_status,
+      CASE WHEN d.doc_id % 9 <> 0 AND d.doc_id % 3 = 0 THEN NULL ELSE CAST(0 AS BIGINT) END AS indexed_at,
+      (SELECT count(*) FROM f WHERE f.note_id = d.doc_id AND fragment_id % 2 = 0 AND NOT (d.doc_id % 9 <> 0 AND d.doc_id % 3 = 0)) AS n_vectors FROM documents d""",
+    "crash_recovery": f"""WITH {_STORE} SELECT d.doc_id AS note_id, CASE WHEN d.doc_id % 9 = 0 THEN 'failed' ELSE 'indexed' END AS indexing_status, CASE WHEN d.doc_id % 9 = 0 THEN 'Interrupted indexing' END AS indexing_error,
+      (SELECT count(*) FROM f WHERE f.note_id = d.doc_id AND d.doc_id % 9 <> 0) AS n FROM documents d""",
+    "fetch_joined": f"WITH {_STORE} SELECT fragment_id, 'n' || note_id AS note_title, order_index, fragment_id % 2 = 0 AS has_vector FROM f WHERE note_id % 10 <> 0 ORDER BY note_id, order_index LIMIT 200 OFFSET 40",
+    "content_update": """SELECT doc_id AS note_id, sha256(CASE WHEN doc_id % 12 = 0 THEN text || chr(10) || chr(10) || 'more' ELSE text END) AS content_hash,
+      CASE WHEN doc_id % 12 = 0 THEN 'stale' WHEN doc_id % 9 = 0 THEN 'indexing' ELSE 'indexed' END AS indexing_status, CAST(CASE WHEN doc_id % 12 = 0 THEN 9 ELSE 0 END AS BIGINT) AS updated_at,
+      CASE WHEN doc_id % 12 = 0 THEN row_number() OVER (PARTITION BY doc_id % 12 = 0 ORDER BY doc_id) END AS revision_id, CASE WHEN doc_id % 12 = 0 THEN true END AS adds FROM documents""",
+    "delete_cascade": f"""WITH {_STORE}, k AS (SELECT * FROM f WHERE note_id % 4 <> 0)
+      SELECT 'notes' AS name, count(*) AS n FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'fragments', count(*) FROM k UNION ALL SELECT 'fragment_embeddings', count(*) FROM k WHERE fragment_id % 2 = 0
+      UNION ALL SELECT x, (SELECT count(*) FROM k WHERE order_index < 2) FROM (SELECT unnest(['cards', 'schedules', 'review_logs']) AS x)""",
+    "tag_resolve": f"WITH {_TAGS}, {_IDS} SELECT a.tag_id, b.tag_id AS parent_tag_id, a.name AS slug, CAST(a.depth AS INTEGER) AS depth, a.path AS path_cached FROM ids a LEFT JOIN ids b ON b.path = regexp_replace(a.path, '/[^/]*$', '') AND b.path <> a.path",
+    "tag_rename": f"WITH {_TAGS}, {_IDS}, o AS (SELECT path AS p FROM ids WHERE tag_id = 1) SELECT tag_id, CASE WHEN tag_id = 1 THEN 'Renamed' ELSE name END AS name, CASE WHEN tag_id = 1 THEN 'renamed' ELSE name END AS slug, CASE WHEN path = p OR starts_with(path, p || '/') THEN 'renamed' || substr(path, length(p) + 1) ELSE path END AS path_cached FROM ids, o",
+    "tag_move": f"""WITH {_TAGS}, {_IDS}, o AS (SELECT (SELECT path FROM ids WHERE tag_id = 1) AS p, (SELECT path FROM ids WHERE tag_id = 2) AS q)
+      SELECT a.tag_id, CASE WHEN a.tag_id = 2 THEN 1 ELSE b.tag_id END AS parent_tag_id, CAST(a.depth + CASE WHEN a.path = q OR starts_with(a.path, q || '/') THEN 1 ELSE 0 END AS INTEGER) AS depth,
+        CASE WHEN a.path = q OR starts_with(a.path, q || '/') THEN p || '/' || a.path ELSE a.path END AS path_cached
+      FROM ids a CROSS JOIN o LEFT JOIN ids b ON b.path = regexp_replace(a.path, '/[^/]*$', '') AND b.path <> a.path""",
+    "tag_delete": f"""WITH {_TAGS}, {_IDS}, o AS (SELECT path AS p FROM ids WHERE tag_id = 1), u AS (SELECT lower(concat_ws('/', replace(p_type, ' ', '/'), p_brand)) AS path, count(*) AS n FROM part GROUP BY 1)
+      SELECT tag_id, ids.path AS path_cached, coalesce(n, 0) AS n FROM ids CROSS JOIN o LEFT JOIN u ON u.path = ids.path WHERE ids.path <> p AND NOT starts_with(ids.path, p || '/')""",
+    "cards_rendered": """WITH c AS (SELECT *, o_orderkey % 3 > 0 AS has, CASE WHEN o_orderkey % 3 > 0 THEN 'text of ' || o_orderkey ELSE o_orderstatus END AS body, o_orderkey % 4 AS t, CASE WHEN o_orderkey % 5 = 0 THEN 'front' END AS cf, CASE WHEN o_orderkey % 7 = 0 THEN 'back' END AS cb FROM orders)
+      SELECT o_orderkey AS card_id, CASE t WHEN 2 THEN body WHEN 0 THEN coalesce(cf, CASE WHEN NOT has THEN 'Orphaned Section' WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'Untitled Section' END) ELSE coalesce(cf, '') END AS front,
+        CASE t WHEN 2 THEN body WHEN 0 THEN coalesce(cb, body) ELSE coalesce(cb, '') END AS back, ['heading', 'qa', 'cloze', 'manual'][t + 1] AS card_type, c_custkey AS note_id, c_name AS note_title, c_mktsegment AS note_path FROM c JOIN customer ON o_custkey = c_custkey""",
+    "chunk_candidates": """WITH h AS (SELECT q.vec_id AS chunk_index, e.vec_id, e.label AS note_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY chunk_index ORDER BY s DESC, vec_id) AS n FROM h), b AS (SELECT chunk_index, note_id, max(round(s, 6)) AS score FROM r WHERE n <= 10 GROUP BY ALL)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_index ORDER BY score DESC, note_id) AS place FROM b) WHERE place <= 3""",
+    "decode_recommendations": """SELECT o_orderkey AS chunk_index, CASE o_orderkey % 6 WHEN 0 THEN 'append' WHEN 1 THEN 'create_child' WHEN 2 THEN 'create_child' WHEN 3 THEN 'merge_with_chunk' ELSE 'skip' END AS action,
+      CASE WHEN o_orderkey % 6 = 0 THEN o_custkey END AS target_note_id, CASE WHEN o_orderkey % 6 = 2 THEN -o_custkey - 1 END AS parent_note_id, CASE o_orderkey % 6 WHEN 1 THEN 't' || o_custkey WHEN 2 THEN 't' END AS new_note_title,
+      CASE WHEN o_orderkey % 6 = 3 THEN o_custkey END AS merge_into, CASE WHEN o_orderkey % 6 = 0 THEN 'a,b' END AS tags, CASE WHEN o_orderkey % 6 = 0 THEN CAST(0.5 AS DOUBLE) END AS confidence,
+      CASE o_orderkey % 6 WHEN 3 THEN '' WHEN 4 THEN 'no target' WHEN 5 THEN '' ELSE 'r' END AS reason FROM orders""",
     "fetch_page": "SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 25 OFFSET 40",
     "streaming_index": "SELECT doc_id AS note_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_fragments FROM documents",
 }

@@ -6,14 +6,17 @@ orders for cards and schedules, part types and brands for tags, events for the r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import defaults as d
 from .functions import text as tx
 from .functions.vectors import cosine, dot, norm, normalized
-from .operators import calibration, distribute, fragments, fusion, hierarchy, indexing, keyword, review, vector
+from .operators import calibration, cards, distribute, fragments, fusion, hierarchy, indexing, keyword, review, store, tags, vector
 from .plans.retrieve import hybrid_search
-from .streaming.jobs import streaming_index
+from .streaming.jobs import streaming_index, streaming_reviews
 
 SINGLE, SEVERAL, RARE = "heat", "heat thing", "zzqx thing"
 LINES = "concat('## ', replace(text, ' ', '  '), chr(10), chr(10), '- **bold** [label](http://x) and [[note|alias]]', chr(10), '3. item `code`')"
@@ -47,8 +50,8 @@ def kw_match_counts(spark, sf):
     return keyword.match_counts(_docs(spark, sf), ["the", "license", "tion"])
 
 
-def _query_vectors(spark, sf, n):
-    rows = _t(spark, sf, "embeddings").where(F.col("vec_id") < n)
+def _query_vectors(spark, sf):
+    rows = _t(spark, sf, "embeddings").where(F.col("vec_id") % 20 == 0)
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
@@ -58,7 +61,7 @@ def vec_topk_dot(spark, sf):
 
 
 def vec_topk_batch(spark, sf):
-    return _rounded(vector.vector_search_batch(_t(spark, sf, "embeddings"), _query_vectors(spark, sf, 20), 5), "similarity")
+    return _rounded(vector.vector_search_batch(_t(spark, sf, "embeddings"), _query_vectors(spark, sf), 5), "similarity")
 
 
 def vec_cosine_pairs(spark, sf):
@@ -88,15 +91,16 @@ def best_per_group_top3(spark, sf):
     return _rounded(vector.best_groups(hits, "label", "similarity", 3), "similarity")
 
 
-def _ranked(df: DataFrame, key: str, order) -> DataFrame:
-    return df.withColumn("rank", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
+def _best(df: DataFrame, order, most: int) -> DataFrame:
+    """The first ``most`` rows with their rank; only they are brought together."""
+    along = Window.partitionBy(F.lit(0)).orderBy(*order)
+    return df.orderBy(*order).limit(most).withColumn("rank", (F.row_number().over(along) - 1).cast("long"))
 
 
 def _two_lists(spark, sf):
-    e = _t(spark, sf, "embeddings").where(F.col("vec_id") < 200)
-    a = _ranked(e.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("s")), "vec_id", [F.desc("s"), "vec_id"]).where("rank < 50")
-    b = _ranked(e.select("vec_id", F.round(F.col("embedding")[1].cast("double"), 6).alias("s")), "vec_id", [F.desc("s"), "vec_id"]).where("rank < 50")
-    return a, b
+    e = _t(spark, sf, "embeddings")
+    part = lambda i: e.select("vec_id", F.round(F.col("embedding")[i].cast("double"), 6).alias("s"))
+    return _best(part(0), [F.desc("s"), "vec_id"], 50), _best(part(1), [F.desc("s"), "vec_id"], 50)
 
 
 def rrf_two_lists(spark, sf):
@@ -133,26 +137,27 @@ def scoring_rerank(spark, sf):
 
 
 def listwise_rerank(spark, sf):
-    top = _ranked(_scored(spark, sf), "vec_id", [F.desc("score"), "vec_id"]).where("rank < 25")
+    top = _best(_scored(spark, sf), [F.desc("score"), "vec_id"], 25)
     order = top.where("rank % 3 = 1").select("vec_id", (100 - F.col("rank")).alias("place"))
     return _rounded(fusion.listwise_rerank(top, order, "vec_id").select("vec_id", "rank", "score"), "score")
 
 
 def _calibration(spark, sf):
-    e = _t(spark, sf, "embeddings")
-    q = e.where("vec_id < 12").select(F.col("vec_id").alias("query"), F.col("label").cast("string").alias("expected"), F.col("embedding").alias("qv"))
-    pairs = e.where("vec_id BETWEEN 20 AND 119").crossJoin(F.broadcast(q))
-    d0 = F.round(dot(F.slice("embedding", 1, 32), F.slice("qv", 1, 32)), 6)
-    d1 = F.round(dot(F.col("embedding"), F.col("qv")), 6)
-    rows = pairs.select("query", "expected", F.col("vec_id").alias("doc"), F.col("label").cast("string").alias("title"), d0.alias("a"), d1.alias("b"))
-    rank = lambda c: (F.row_number().over(Window.partitionBy("query").orderBy(F.desc(c), "doc")) - 1).cast("long")
-    rows = rows.withColumn("keyword_rank", rank("a")).withColumn("vector_rank", rank("b"))
-    keep = lambda c: F.when(F.col(c) < 20, F.col(c))
-    rows = rows.withColumn("keyword_rank", keep("keyword_rank")).withColumn("vector_rank", keep("vector_rank"))
-    hits = rows.where("keyword_rank IS NOT NULL OR vector_rank IS NOT NULL").withColumn("boost_matches", (F.col("doc") % 3).cast("double"))
-    queries = q.select("query", F.when(F.col("query") % 2 == 0, 1.0).otherwise(0.9).alias("relevance"))
-    grid = spark.sql("SELECT w, k, tb FROM (SELECT explode(array(0e0, 1e0, 2e0)) w) CROSS JOIN (SELECT explode(array(10e0, 60e0)) k) CROSS JOIN (SELECT explode(array(0e0, 5e-2)) tb)")
-    return calibration.fused_ranks(hits, grid), queries
+    """Every twentieth vector asks; the hits of each branch are the best 50 of all vectors, by the first
+    half of the dimensions and by all of them."""
+    e = _t(spark, sf, "embeddings").withColumn("label", F.col("label").cast("string"))
+    half = lambda df, c: df.withColumn(c, F.slice(c, 1, 32))
+    asked = _query_vectors(spark, sf)
+    most = d.FUSION_CANDIDATES
+    branch = lambda rows, queries, name: vector.vector_search_batch(rows, queries, most).select("query_id", "vec_id", F.col("rank").alias(name))
+    keyword_hits = branch(half(e, "embedding"), half(asked, "query"), "keyword_rank")
+    hits = keyword_hits.join(branch(e, asked, "vector_rank"), ["query_id", "vec_id"], "full")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("expected"))
+    hits = hits.withColumnRenamed("query_id", "query").withColumnRenamed("vec_id", "doc")
+    hits = hits.join(q, "query").join(e.select(F.col("vec_id").alias("doc"), F.col("label").alias("title")), "doc")
+    hits = hits.withColumn("boost_matches", (F.col("doc") % 3).cast("double"))
+    queries = q.select("query", F.when(F.col("query") % 40 == 0, 1.0).otherwise(0.9).alias("relevance"))
+    return calibration.fused_ranks(hits, calibration.grid(spark)), queries
 
 
 def mrr_eval(spark, sf):
@@ -167,7 +172,7 @@ def grid_search_best(spark, sf):
 
 def min_score_calibrated(spark, sf):
     ranked, _ = _calibration(spark, sf)
-    return _rounded(calibration.calibrated_min_score(ranked.where("w = 1 AND k = 60 AND tb = 0")), "min_score")
+    return _rounded(calibration.calibrated_min_score(ranked.where("w = 1.5 AND k = 60 AND tb = 0.05")), "min_score")
 
 
 def token_counts(spark, sf):
@@ -231,17 +236,20 @@ def content_hash_dups(spark, sf):
 
 
 def incremental_diff(spark, sf):
+    """All lines of all notes; edits, deletions and insertions are spread over whole notes."""
     rows = _hashed_lines(spark, sf)
     old = rows.where("note_id % 5 <> 0")
-    new = rows.where("note_id % 7 <> 0 AND order_index < 6").withColumn("hash", F.when(F.col("order_index") == 2, F.sha2("hash", 256)).otherwise(F.col("hash")))
-    return indexing.fragment_changes(old, new).groupBy("note_id", "change").agg(F.count(F.lit(1)).alias("n"))
+    edited = F.when(F.col("order_index") % 5 == 2, F.sha2("hash", 256)).otherwise(F.col("hash"))
+    new = rows.where("note_id % 7 <> 0 AND order_index % 11 <> 10").withColumn("hash", edited)
+    inserted = rows.where("note_id % 7 <> 0 AND order_index % 13 = 0").withColumn("order_index", F.col("order_index") + 1000000)
+    return indexing.fragment_changes(old, new.unionByName(inserted)).groupBy("note_id", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _notes(spark, sf):
-    d, lab = _t(spark, sf, "documents"), _t(spark, sf, "labels")
+    docs, lab = _t(spark, sf, "documents"), _t(spark, sf, "labels")
     status = F.when(F.col("doc_id") % 4 == 0, "pending").when(F.col("doc_id") % 9 == 0, "failed").otherwise("indexed")
     model = F.when(F.col("quality") == 1, "m1").when(F.col("quality") == 0, "m0")
-    return d.join(lab, "doc_id", "left").select(
+    return docs.join(lab, "doc_id", "left").select(
         "doc_id", status.alias("indexing_status"), model.alias("embedding_model"),
         F.when(F.col("doc_id") % 2 == 0, F.lit("1")).alias("indexing_version"),
         F.when(F.col("doc_id") % 3 == 0, 1024).when(F.col("doc_id") % 3 == 1, 64).alias("embedding_dimension"),
@@ -284,8 +292,9 @@ def _cards(spark, sf):
     o = _t(spark, sf, "orders")
     cards = o.select(F.col("o_orderkey").alias("card_id"), F.col("o_custkey").alias("note_id"), F.when(F.col("o_orderstatus") == "F", "suspended").otherwise("active").alias("status"))
     at = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
-    schedules = o.select(F.lit("card").alias("target_type"), F.col("o_orderkey").alias("target_id"), F.when(F.col("o_orderkey") % 5 > 0, at).alias("next_review"))
-    noted = o.where("o_orderkey % 11 = 0").select(F.lit("note").alias("target_type"), F.col("o_custkey").alias("target_id"), at.alias("next_review"))
+    state = F.when(F.col("o_orderkey") % 5 > 0, "review").otherwise("new").alias("state")
+    schedules = o.select(F.lit("card").alias("target_type"), F.col("o_orderkey").alias("target_id"), F.when(F.col("o_orderkey") % 5 > 0, at).alias("next_review"), state)
+    noted = o.where("o_orderkey % 11 = 0").select(F.lit("note").alias("target_type"), F.col("o_custkey").alias("target_id"), at.alias("next_review"), state)
     return cards, schedules.unionByName(noted)
 
 
@@ -308,7 +317,8 @@ def hierarchical_due_counts(spark, sf):
 
 def repeat_mode_tree(spark, sf):
     cards, schedules = _cards(spark, sf)
-    return hierarchy.repeat_tree(hierarchy.tree_paths(_tree(spark, sf)), schedules, cards, F.lit(NOW))
+    tree = hierarchy.repeat_tree(hierarchy.tree_paths(_tree(spark, sf)), schedules, cards, F.lit(NOW))
+    return tree.withColumnRenamed("name", "title")
 
 
 def due_queue(spark, sf):
@@ -354,8 +364,7 @@ def tag_inherit_anti(spark, sf):
 
 
 def tag_move_closure(spark, sf):
-    nodes = _tree(spark, sf).where("id >= 1000000000")
-    return hierarchy.moved_closure(hierarchy.closure(hierarchy.tree_paths(nodes)), 10**9 + 1, 2 * 10**9)
+    return hierarchy.moved_closure(hierarchy.closure(hierarchy.tree_paths(_tree(spark, sf))), 10**9 + 1, 2 * 10**9)
 
 
 def hashtag_extract(spark, sf):
@@ -380,9 +389,9 @@ def review_state_fold(spark, sf):
 
 
 def plan_append_concat(spark, sf):
-    targets = _t(spark, sf, "customer").select(F.col("c_custkey").alias("note_id"), F.col("c_name").alias("content"))
+    targets = _t(spark, sf, "customer").select(F.col("c_custkey").alias("note_id"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).otherwise("").alias("content"))
     chunks = _t(spark, sf, "orders").select(F.col("o_custkey").alias("target_id"), F.col("o_orderkey").alias("chunk_index"), F.col("o_orderpriority").alias("text"))
-    return distribute.appended(targets, chunks).select("note_id", tx.content_hash(F.col("content")).alias("h"))
+    return distribute.appended(targets, chunks, 7, "2024-01-01T00:00:00+00:00").select("note_id", tx.content_hash(F.col("content")).alias("h"))
 
 
 def heuristic_parent(spark, sf):
@@ -399,6 +408,159 @@ def fetch_page(spark, sf):
     return indexing.page(_t(spark, sf, "documents").select("doc_id", "lang"), ["lang", "doc_id"], 40, 25)
 
 
+def _note_table(spark, sf):
+    """Documents as notes, every tenth of them deleted, every ninth being indexed."""
+    status = F.when(F.col("doc_id") % 9 == 0, "indexing").otherwise("indexed")
+    return _t(spark, sf, "documents").select(
+        F.col("doc_id").alias("note_id"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"),
+        F.lit(None).cast("long").alias("parent_note_id"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("path_cached"), status.alias("indexing_status"), F.lit(None).cast("string").alias("indexing_error"),
+        F.lit(0).cast("long").alias("indexed_at"), F.when(F.col("doc_id") % 3 == 0, "m0").otherwise("m1").alias("embedding_model"), F.lit(64).alias("embedding_dimension"),
+        F.lit("1").alias("indexing_version"), F.when(F.col("doc_id") % 10 == 0, "deleted").otherwise("active").alias("lifecycle"), tx.content_hash(F.col("text")).alias("content_hash"),
+        F.lit(0).cast("long").alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
+
+
+def _fragment_table(spark, sf):
+    """The documents' lines as fragments, a number in a hundred thousand for each."""
+    rows = fragments.lines(_t(spark, sf, "documents")).where("doc_id % 5 <> 0")
+    return rows.select(
+        (F.col("doc_id") * 100000 + F.col("pos")).alias("fragment_id"), F.col("doc_id").alias("note_id"), F.col("pos").cast("long").alias("order_index"), F.col("line").alias("raw_text"),
+        tx.content_hash(F.col("line")).alias("raw_text_hash"), F.col("line").alias("clean_text"), tx.content_hash(F.col("line")).alias("clean_text_hash"),
+        F.lit(0).cast("long").alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
+
+
+def _embedding_table(spark, sf):
+    rows = _fragment_table(spark, sf).where("fragment_id % 2 = 0")
+    return rows.select("fragment_id", F.lit("m1").alias("embedding_model"), F.lit("1").alias("embedding_model_version"), F.lit(2).alias("dim"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"), F.lit(0).cast("long").alias("embedded_at"))
+
+
+def _ids(spark, sf, condition):
+    return _t(spark, sf, "documents").where(condition).select(F.col("doc_id").alias("note_id"))
+
+
+def active_search(spark, sf):
+    """Three queries at once over fragments of notes of which a tenth is deleted."""
+    rows = _docs(spark, sf).withColumn("live", F.col("fragment_id") % 10 != 0)
+    return _rounded(keyword.keyword_search_batch(rows, {0: SINGLE, 1: SEVERAL, 2: RARE}, 20, live="live"), "bm25")
+
+
+def index_apply(spark, sf):
+    """Fragments after the notes were indexed again with edited, deleted and added lines."""
+    lines = fragments.lines(_t(spark, sf, "documents")).where("doc_id % 7 <> 0 AND pos % 11 <> 10")
+    text = F.when(F.col("pos") % 5 == 2, F.concat(F.lit("edited "), "line")).otherwise(F.col("line"))
+    new = lines.select(F.col("doc_id").alias("note_id"), F.col("pos").cast("long").alias("order_index"), text.alias("raw_text"), text.alias("clean_text"))
+    _, after, vectors = store.indexed(_note_table(spark, sf), _fragment_table(spark, sf), _embedding_table(spark, sf), new, _ids(spark, sf, "doc_id % 3 <> 0"), "m1", 64, 5)
+    held = vectors.select(F.col("fragment_id").alias("_id"))
+    joined = after.join(held, F.col("fragment_id") == F.col("_id"), "left")
+    return joined.select("fragment_id", "note_id", "order_index", "clean_text_hash", F.col("_id").isNotNull().alias("has_vector"))
+
+
+def drift_apply(spark, sf):
+    notes, vectors = store.marked_for_model(_note_table(spark, sf), _fragment_table(spark, sf), _embedding_table(spark, sf), "m1", 64)
+    left = vectors.select(F.floor(F.col("fragment_id") / 100000).alias("_note")).groupBy("_note").agg(F.count(F.lit(1)).alias("n"))
+    return notes.join(left, F.col("note_id") == F.col("_note"), "left").select("note_id", "indexing_status", "indexed_at", F.coalesce("n", F.lit(0)).cast("long").alias("n_vectors"))
+
+
+def crash_recovery(spark, sf):
+    notes, rows = store.recovered(_note_table(spark, sf), _fragment_table(spark, sf))
+    counts = store.fragment_counts(rows).withColumnRenamed("note_id", "_note")
+    return notes.join(counts, F.col("note_id") == F.col("_note"), "left").select("note_id", "indexing_status", "indexing_error", F.coalesce("n_fragments", F.lit(0)).cast("long").alias("n"))
+
+
+def fetch_joined(spark, sf):
+    rows = store.fetch(_fragment_table(spark, sf), _note_table(spark, sf), _embedding_table(spark, sf), "m1", offset=40, limit=200)
+    return rows.select("fragment_id", "note_title", "order_index", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+def content_update(spark, sf):
+    """Every sixth note gets a new content; equal ones change nothing."""
+    docs = _t(spark, sf, "documents").where("doc_id % 6 = 0")
+    new = docs.select(F.col("doc_id").alias("note_id"), F.when(F.col("doc_id") % 12 == 0, F.concat("text", F.lit("\n\nmore"))).otherwise(F.col("text")).alias("content"))
+    revisions = spark.createDataFrame([], "revision_id long, note_id long, patch string, created_at long")
+    notes, patches = store.with_content(_note_table(spark, sf), revisions, new, 9)
+    added = patches.select(F.col("note_id").alias("_note"), "revision_id", F.col("patch").contains("+more").alias("adds"))
+    return notes.join(added, F.col("note_id") == F.col("_note"), "left").select("note_id", "content_hash", "indexing_status", "updated_at", "revision_id", "adds")
+
+
+def delete_cascade(spark, sf):
+    """What is left of each table after every fourth note was deleted for good."""
+    rows = _fragment_table(spark, sf)
+    cards = rows.where("order_index < 2").select(F.col("fragment_id").alias("card_id"), "note_id", F.col("fragment_id").alias("section_id"), F.lit("fresh").alias("status"), F.lit(None).cast("string").alias("last_section_snapshot"))
+    plans = cards.select(F.col("card_id").alias("schedule_id"), F.lit("card").alias("target_type"), F.col("card_id").alias("target_id"))
+    logs = plans.select(F.col("schedule_id").alias("log_id"), "schedule_id")
+    tables = {"notes": _note_table(spark, sf), "fragments": rows, "fragment_embeddings": _embedding_table(spark, sf), "cards": cards, "schedules": plans, "review_logs": logs}
+    after = store.deleted_notes(tables, _ids(spark, sf, "doc_id % 4 = 0"))
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in after.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _tag_table(spark, sf):
+    strings = _t(spark, sf, "part").select(F.concat_ws("/", F.replace("p_type", F.lit(" "), F.lit("/")), "p_brand").alias("path"))
+    empty = spark.createDataFrame([], "tag_id long, parent_tag_id long, name string, slug string, depth int, path_cached string")
+    return tags.resolved(empty, strings)[0]
+
+
+def tag_resolve(spark, sf):
+    return _tag_table(spark, sf).select("tag_id", "parent_tag_id", "slug", "depth", "path_cached")
+
+
+def tag_rename(spark, sf):
+    return tags.renamed(_tag_table(spark, sf), 1, "Renamed").select("tag_id", "name", "slug", "path_cached")
+
+
+def tag_move(spark, sf):
+    return tags.moved(_tag_table(spark, sf), 2, 1).select("tag_id", "parent_tag_id", "depth", "path_cached")
+
+
+def tag_delete(spark, sf):
+    held = _tag_table(spark, sf)
+    links = _t(spark, sf, "part").select(F.col("p_partkey").alias("note_id"), F.lower(F.concat_ws("/", F.replace("p_type", F.lit(" "), F.lit("/")), "p_brand")).alias("path_cached"))
+    links = links.join(held.select("tag_id", "path_cached"), "path_cached").select("note_id", "tag_id")
+    left, notes, _ = tags.deleted(held, links, links.withColumnRenamed("note_id", "fragment_id"), 1)
+    used = notes.groupBy("tag_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("tag_id", "_tag")
+    return left.join(used, F.col("tag_id") == F.col("_tag"), "left").select("tag_id", "path_cached", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def cards_rendered(spark, sf):
+    o = _t(spark, sf, "orders")
+    kind = F.element_at(F.array(*map(F.lit, ("heading", "qa", "cloze", "manual"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    held = o.select(F.col("o_orderkey").alias("card_id"), F.col("o_custkey").alias("note_id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey")).alias("section_id"), kind.alias("card_type"),
+                    F.when(F.col("o_orderkey") % 5 == 0, F.lit("front")).alias("custom_front"), F.when(F.col("o_orderkey") % 7 == 0, F.lit("back")).alias("custom_back"), F.col("o_orderstatus").alias("last_section_snapshot"))
+    sections = o.select(F.col("o_orderkey").alias("section_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("heading"), F.concat(F.lit("text of "), F.col("o_orderkey").cast("string")).alias("text_raw"))
+    notes = _t(spark, sf, "customer").select(F.col("c_custkey").alias("note_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("path_cached"))
+    return cards.rendered(held, sections, notes)
+
+
+def chunk_candidates(spark, sf):
+    """The three best notes (labels) for each chunk (every twentieth vector), by their ten best fragments."""
+    e = _t(spark, sf, "embeddings")
+    hits = vector.vector_search_batch(e, _query_vectors(spark, sf), 10).join(e.select("vec_id", "label"), "vec_id")
+    rows = hits.select(F.col("query_id").alias("chunk_index"), F.col("label").alias("note_id"), F.round("similarity", 6).alias("score"))
+    return distribute.candidate_notes(rows)
+
+
+def decode_recommendations(spark, sf):
+    o = _t(spark, sf, "orders")
+    text = F.expr("""CASE o_orderkey % 6
+        WHEN 0 THEN concat('{"action":"append","target_note_id":', o_custkey, ',"tags":["a","b"],"confidence":0.5,"reason":"r"}')
+        WHEN 1 THEN concat('{"action":"create_child","parent_note_id":null,"new_note_title":"t', o_custkey, '","reason":"r"}')
+        WHEN 2 THEN concat('{"action":"create_child","parent_chunk_index":', o_custkey, ',"new_note_title":"t","reason":"r"}')
+        WHEN 3 THEN concat('{"action":"merge_with_chunk","merge_target_chunk_index":', o_custkey, '}')
+        WHEN 4 THEN '{"action":"append","reason":"no target"}' ELSE 'no json' END""")
+    rows = distribute.decoded(o.select(F.col("o_orderkey").alias("chunk_index"), text.alias("recommendation")))
+    return rows.select("chunk_index", "action", "target_note_id", "parent_note_id", "new_note_title", "merge_into", F.array_join("tags", ",").alias("tags"), "confidence", "reason")
+
+
+def fragment_notes(spark, sf):
+    """The fragments of all documents by the standard preset."""
+    rows = fragments.fragmented(_marked(spark, sf), key="doc_id", text="text")
+    return rows.select("doc_id", "order_index", "title", tx.content_hash(F.col("raw_text")).alias("raw_hash"), tx.content_hash(F.col("clean_text")).alias("clean_hash"))
+
+
+def stemmed_boost(spark, sf):
+    boosted = fusion.term_boost(F.col("clean_text"), ["heating", "things", "networks"], stem=True)
+    return _rounded(_docs(spark, sf).select("fragment_id", boosted.alias("boost")), "boost")
+
+
 QUERIES = {f.__name__: f for f in (
     hybrid_search, kw_bm25_single, kw_bm25_and, kw_bm25_or_fallback, kw_match_counts, vec_topk_dot, vec_topk_batch, vec_cosine_pairs,
     l2_norms, vec_dim_guard, semantic_merge_groups, best_per_group_top3, rrf_two_lists, rrf_weighted_k, term_boost, ratio_cutoff,
@@ -407,4 +569,6 @@ QUERIES = {f.__name__: f for f in (
     dedup_fragments, content_hash_dups, incremental_diff, needs_indexing, drift_stale, cache_hit_miss, cache_ttl, lang_mode, note_tree_paths,
     descendant_pairs, hierarchical_due_counts, repeat_mode_tree, due_queue, due_count, tag_closure_build, tag_autocomplete, tag_subtree_notes,
     tag_inherit_anti, tag_move_closure, hashtag_extract, json_payload, review_state_fold, plan_append_concat, heuristic_parent,
-    plan_create_child_levels, fetch_page, streaming_index)}
+    plan_create_child_levels, fetch_page, streaming_index, streaming_reviews, active_search, index_apply, drift_apply, crash_recovery,
+    fetch_joined, content_update, delete_cascade, tag_resolve, tag_rename, tag_move, tag_delete, cards_rendered, chunk_candidates,
+    decode_recommendations, fragment_notes, stemmed_boost)}
