@@ -89,21 +89,23 @@ def format_conversations(
     rows = rows.withColumn("opens", opens)
     start = F.struct("window", "sum")
     following = F.last(F.when(F.col("opens"), start), ignorenulls=True).over(back)
-    # Conversations list all their windows only for the one row that each of them retains.
-    starts = F.collect_list(F.when(F.col("opens"), F.col("window"))).over(back)
     is_system = (F.col("role") == "system") & (F.coalesce("systems", F.lit(0)) == 0)
     rows = rows.withColumn("next", following).withColumn("kept", is_system)
-    rows = rows.withColumn("later", F.when(F.col("kept"), starts))
+    # The first turn of a later window brings the retained one along: one running value, no lists.
+    turn = F.struct("at", "role", "mark", "body", "tokens", "window")
+    retained = F.first(F.when(F.col("kept"), turn), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("retained", F.when(F.col("opens"), retained))
     near = (~F.col("kept")) & F.col("next").isNotNull() & (F.col("next.sum") - F.col("sum") <= history)
 
-    use = lambda window, kind: F.struct(window.alias("window"), F.lit(kind).alias("kind"))
-    retained = F.transform("later", lambda w: use(w, 0))
-    repeated = F.when(near, F.array(use(F.col("next.window"), 1)))
-    none = F.array().cast("array<struct<window:bigint,kind:int>>")
-    uses = F.concat(
-        F.array(use(F.col("window"), 2)), F.coalesce(retained, none), F.coalesce(repeated, none)
-    )
-    placed = rows.select("conv_id", "at", "role", "mark", "body", "tokens", F.explode(uses).alias("use"))
+    own = [F.col(c).alias(c) for c in ("at", "role", "mark", "body", "tokens")]
+    use = lambda of, window, kind: F.struct(*of, F.struct(window.alias("window"), F.lit(kind).alias("kind")).alias("use"))
+    of_retained = [F.col(f"retained.{c}").alias(c) for c in ("at", "role", "mark", "body", "tokens")]
+    uses = F.array_compact(F.array(
+        use(own, F.col("window"), 2),
+        F.when(F.col("retained.window") < F.col("window"), use(of_retained, F.col("window"), 0)),
+        F.when(near, use(own, F.col("next.window"), 1)),
+    ))
+    placed = rows.select("conv_id", F.explode(uses).alias("u")).select("conv_id", "u.*")
 
     head = F.concat(F.lit(HEAD), "mark", F.lit(BETWEEN))
     piece = F.concat(head, "body", F.lit(END + NEW_LINE))
