@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +27,23 @@ def normalized(a: Column) -> Column:
     """``a`` at length 1; the zero vector as it is."""
     length = norm(a)
     return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+
+
+def to_blob(a: Column) -> Column:
+    """A vector as little-endian 32-bit floats; null stays null."""
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+    return run(a)
+
+
+def from_blob(blob: Column) -> Column:
+    """The vector of a blob; null for null and for lengths that aren't whole floats."""
+
+    @F.pandas_udf("array<float>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
+
+    return run(blob)

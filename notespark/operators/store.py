@@ -240,6 +240,17 @@ def with_embeddings(embeddings: DataFrame, fragments: DataFrame, new: DataFrame)
     return replaced(embeddings, at, ["fragment_id", "embedding_model", "embedding_model_version"])
 
 
+def updated_fragments(fragments: DataFrame, embeddings: DataFrame, new: DataFrame, now: int, invalidate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Fragments with the texts of ``new`` (``note_id``, ``order_index``, ``raw_text``, ``clean_text``) in their
+    places, and the vectors, without theirs if they are to be made again."""
+    keys = ["note_id", "order_index"]
+    texts = new.select(*keys, "raw_text", "clean_text", content_hash(F.col("raw_text")).alias("raw_text_hash"), content_hash(F.col("clean_text")).alias("clean_text_hash"))
+    held = fragments.select("fragment_id", *keys, "created_at").join(texts, keys).withColumn("updated_at", F.lit(now).cast("long"))
+    changed = kept(held.select(*fragments.columns))
+    after = replaced(fragments, changed, ["fragment_id"])
+    return after, _among(embeddings, changed.select("fragment_id"), "fragment_id", "left_anti") if invalidate else embeddings
+
+
 def deleted_fragments(fragments: DataFrame, embeddings: DataFrame, cards: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables without the fragments in ``ids``: vectors go with them, cards become orphans that
     keep the text."""

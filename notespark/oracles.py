@@ -253,6 +253,15 @@ ORACLES = {
       CASE WHEN o_orderkey % 6 = 0 THEN o_custkey END AS target_note_id, CASE WHEN o_orderkey % 6 = 2 THEN -o_custkey - 1 END AS parent_note_id, CASE o_orderkey % 6 WHEN 1 THEN 't' || o_custkey WHEN 2 THEN 't' END AS new_note_title,
       CASE WHEN o_orderkey % 6 = 3 THEN o_custkey END AS merge_into, CASE WHEN o_orderkey % 6 = 0 THEN 'a,b' END AS tags, CASE WHEN o_orderkey % 6 = 0 THEN CAST(0.5 AS DOUBLE) END AS confidence,
       CASE o_orderkey % 6 WHEN 3 THEN '' WHEN 4 THEN 'no target' WHEN 5 THEN '' ELSE 'r' END AS reason FROM orders""",
+    "calibration_run": _GRID + """, best AS (SELECT w, k, tb FROM m ORDER BY mrr DESC, w, k, tb LIMIT 1),
+      least_score AS (SELECT CASE WHEN min(score) IS NULL THEN 0.005 ELSE greatest(least(min(score) * 0.9, 0.05), 0.001) END AS v FROM b JOIN best USING (w, k, tb) WHERE rank <= 5)
+      SELECT 'retrieval_embedding_weight' AS key, CAST(w AS VARCHAR) AS value FROM best UNION ALL SELECT 'retrieval_rrf_k', CAST(k AS VARCHAR) FROM best UNION ALL SELECT 'retrieval_term_boost_weight', CAST(tb AS VARCHAR) FROM best
+      UNION ALL SELECT 'retrieval_min_score', CAST(round(CAST(v AS DOUBLE), 6) AS VARCHAR) FROM least_score""",
+    "model_facts": """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Represent this sentence for searching relevant passages: x' WHEN 1 THEN 'query: x' WHEN 2 THEN 'Instruct: Given a query, retrieve relevant passages' || chr(10) || 'Query: x' ELSE 'x' END AS asked,
+      CASE WHEN s_suppkey % 6 = 1 THEN 'passage: x' ELSE 'x' END AS passage, CASE s_suppkey % 6 WHEN 0 THEN 384 WHEN 1 THEN 1024 WHEN 2 THEN 4096 WHEN 3 THEN 384 WHEN 4 THEN 3072 END AS dimension,
+      CASE s_suppkey % 6 WHEN 2 THEN 'QWEN3' WHEN 5 THEN 'Q8' END AS quantization FROM supplier""",
+    "blob_round_trip": "SELECT vec_id, CAST(4 * len(embedding) AS BIGINT) AS n_bytes, true AS same FROM embeddings",
+    "draft_titles": "SELECT o_orderkey, 'Draft ' || strftime(o_orderdate, '%Y-%m-%d %H:%M') AS title FROM orders",
     "fetch_page": "SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 25 OFFSET 40",
     "streaming_index": "SELECT doc_id AS note_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_fragments FROM documents",
 }

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from . import defaults as d
 from .functions import text as tx
-from .functions.vectors import cosine, dot, norm, normalized
+from .functions import notes as nt
+from .functions.vectors import cosine, dot, from_blob, norm, normalized, to_blob
 from .operators import calibration, cards, distribute, fragments, fusion, hierarchy, indexing, keyword, review, store, tags, vector
 from .plans.retrieve import hybrid_search
 from .streaming.jobs import streaming_index, streaming_reviews
@@ -142,7 +143,7 @@ def listwise_rerank(spark, sf):
     return _rounded(fusion.listwise_rerank(top, order, "vec_id").select("vec_id", "rank", "score"), "score")
 
 
-def _calibration(spark, sf):
+def _calibration_hits(spark, sf):
     """Every twentieth vector asks; the hits of each branch are the best 50 of all vectors, by the first
     half of the dimensions and by all of them."""
     e = _t(spark, sf, "embeddings").withColumn("label", F.col("label").cast("string"))
@@ -157,6 +158,11 @@ def _calibration(spark, sf):
     hits = hits.join(q, "query").join(e.select(F.col("vec_id").alias("doc"), F.col("label").alias("title")), "doc")
     hits = hits.withColumn("boost_matches", (F.col("doc") % 3).cast("double"))
     queries = q.select("query", F.when(F.col("query") % 40 == 0, 1.0).otherwise(0.9).alias("relevance"))
+    return hits, queries
+
+
+def _calibration(spark, sf):
+    hits, queries = _calibration_hits(spark, sf)
     return calibration.fused_ranks(hits, calibration.grid(spark)), queries
 
 
@@ -561,6 +567,28 @@ def stemmed_boost(spark, sf):
     return _rounded(_docs(spark, sf).select("fragment_id", boosted.alias("boost")), "boost")
 
 
+def calibration_run(spark, sf):
+    hits, queries = _calibration_hits(spark, sf)
+    return calibration.calibrated(hits, queries, calibration.grid(spark))[1]
+
+
+def model_facts(spark, sf):
+    kinds = ["BGE-small-en", "multilingual-e5-large", "Qwen3-Embedding-8B-Q4_K_M", "all-minilm-l6-v2", "text-embedding-3-large", "other-q8_0"]
+    name = F.element_at(F.array(*map(F.lit, kinds)), (F.col("s_suppkey") % len(kinds) + 1).cast("int"))
+    rows = _t(spark, sf, "supplier").select("s_suppkey", name.alias("model"))
+    return rows.select("s_suppkey", nt.prefixed_query(F.lit("x"), F.col("model")).alias("asked"), nt.prefixed_passage(F.lit("x"), F.col("model")).alias("passage"), nt.known_dimension(F.col("model")).alias("dimension"), nt.quantization(F.col("model")).alias("quantization"))
+
+
+def blob_round_trip(spark, sf):
+    e = _t(spark, sf, "embeddings").select("vec_id", to_blob(F.col("embedding")).alias("blob"), "embedding")
+    back = from_blob(F.col("blob"))
+    return e.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), (back == F.col("embedding")).alias("same"))
+
+
+def draft_titles(spark, sf):
+    return _t(spark, sf, "orders").select("o_orderkey", nt.draft_title(F.col("o_orderdate")).alias("title"))
+
+
 QUERIES = {f.__name__: f for f in (
     hybrid_search, kw_bm25_single, kw_bm25_and, kw_bm25_or_fallback, kw_match_counts, vec_topk_dot, vec_topk_batch, vec_cosine_pairs,
     l2_norms, vec_dim_guard, semantic_merge_groups, best_per_group_top3, rrf_two_lists, rrf_weighted_k, term_boost, ratio_cutoff,
@@ -571,4 +599,4 @@ QUERIES = {f.__name__: f for f in (
     tag_inherit_anti, tag_move_closure, hashtag_extract, json_payload, review_state_fold, plan_append_concat, heuristic_parent,
     plan_create_child_levels, fetch_page, streaming_index, streaming_reviews, active_search, index_apply, drift_apply, crash_recovery,
     fetch_joined, content_update, delete_cascade, tag_resolve, tag_rename, tag_move, tag_delete, cards_rendered, chunk_candidates,
-    decode_recommendations, fragment_notes, stemmed_boost)}
+    decode_recommendations, fragment_notes, stemmed_boost, calibration_run, model_facts, blob_round_trip, draft_titles)}

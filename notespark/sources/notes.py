@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..operators.store import inserted_notes
 from ..schemas import SCHEMAS
 
 
@@ -41,3 +45,32 @@ def seeded_pairs(notes: DataFrame) -> DataFrame:
 def append(rows: DataFrame, root: str, name: str) -> None:
     """Append-only tables (review logs, revisions)."""
     rows.write.mode("append").parquet(f"{root}/{name}")
+
+
+def import_markdown(spark: SparkSession, path: str, notes: DataFrame, now: int) -> DataFrame:
+    """``notes`` and the Markdown files below ``path``, as pending notes at the root; all of them or none,
+    as nothing is written here."""
+    files = read_markdown(spark, path).select("title", "content", F.lit(None).cast("long").alias("parent_note_id"))
+    return inserted_notes(notes, files, now)
+
+
+def indexed_or_failed(notes: DataFrame, cut: Callable[[str], list], key: str = "note_id", text: str = "content") -> DataFrame:
+    """What ``cut`` yields for each note, or why it failed (``key``, ``fragments``, ``error``): a note that
+    can't be read doesn't stop the others."""
+
+    @F.pandas_udf("fragments array<string>, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            try:
+                rows.append((list(cut(t or "")), None))
+            except Exception as e:
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["fragments", "error"])
+
+    return notes.select(key, run(F.col(text)).alias("x")).select(key, "x.fragments", "x.error")
+
+
+def compacted(spark: SparkSession, root: str, name: str, target: str, files: int) -> None:
+    """A table written anew with fewer files; the caller puts it in place of the old one."""
+    read_table(spark, root, name).repartition(files).write.mode("overwrite").parquet(f"{target}/{name}")

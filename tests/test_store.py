@@ -3,9 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from notespark.functions import models
+from notespark.functions import notes as notes_functions
 from notespark.operators import cards, distribute, store, tags
 from notespark.plans.retrieve import Config, Variant, ordered_by, resolved, retrieve, scored_by, variants, vault_language
 from notespark.schemas import SCHEMAS
+from notespark.sources.notes import import_markdown, indexed_or_failed
 
 
 def _rows(spark, name, rows):
@@ -186,3 +189,36 @@ def test_deleted_notes_are_not_found_and_reranks_rerank(spark):
     assert first(ordered_by(lambda p: "[1, 0]", "network")) == plain[::-1]
     assert first(scored_by(lambda p: '[{"id": 2, "score": 10}]', "network"))[0] not in plain[:1]
     assert vault_language(spark.createDataFrame([("the cat is in the house and it was",), ("der Hund",)], "clean_text string")) == "en"
+
+
+def test_imports_failures_and_updates(spark, tmp_path):
+    (tmp_path / "a b.md").write_text("# x")
+    after = import_markdown(spark, str(tmp_path), _notes(spark), 3)
+    assert after.where("title = 'a b'").first().indexing_status == "pending" and after.count() == 5
+    def cut(text):
+        return [text] if text != "x" else 1 / 0
+    got = {r.note_id: (r.fragments, r.error) for r in indexed_or_failed(after, cut).collect()}
+    assert got[5] == (["# x"], None) and got[1][0] is None and got[1][1].startswith("ZeroDivisionError")
+    rows = _rows(spark, "fragments", [{"fragment_id": i, "note_id": 1, "order_index": i, "clean_text": "t"} for i in range(3)])
+    vectors = _rows(spark, "fragment_embeddings", [{"fragment_id": i} for i in range(3)])
+    new = spark.createDataFrame([(1, 1, "r", "c")], "note_id long, order_index long, raw_text string, clean_text string")
+    fragments, left = store.updated_fragments(rows, vectors, new, 5)
+    assert {r.fragment_id: r.clean_text for r in fragments.collect()} == {0: "t", 1: "c", 2: "t"} and left.count() == 2
+    assert store.updated_fragments(rows, vectors, new, 5, False)[1].count() == 3
+
+
+def test_languages_models_and_formulas(spark):
+    texts = {"en": "the cat is in the house", "de": "das ist nicht der Hund", "ru": "кошка в доме", "uk": "кішка в домі", "be": "ён быў у доме", "zh": "猫在房子里",
+             "ja": "猫は家にいます", "it": "il gatto che non è della casa", "pt": "o gato não é da casa", "pl": "kot jest w domu i nie śpi", "nl": "de kat is niet in het huis"}
+    assert {k: notes_functions.detect_language(v) for k, v in texts.items()} == {k: k for k in texts}
+    assert notes_functions.detect_language("123") == "en" and not notes_functions.is_english("123") and notes_functions.is_english(texts["en"])
+    row = spark.createDataFrame([(r"a $\alpha_1 \frac{x}{y}$ and $$\sum _{i}^{n} \vec{v} \foo z$$ ",)], "t string")
+    assert row.select(notes_functions.plain_latex(F.col("t"))).first()[0] == "a α_1 (x)/(y) and ∑_i^n v\u20d7  z"
+    embedder = models.loaded("hashing", dimension=8)
+    assert models.loaded("hashing", dimension=8) is embedder
+    with pytest.raises(ValueError):
+        models.loaded("other")
+    assert sum(x * x for x in models.query_vector("a query", embedder)) == pytest.approx(1)
+    vector = row.select(models.embedded_passages(F.col("t"), embedder)).first()[0]
+    assert sum(x * x for x in vector) == pytest.approx(1, abs=1e-5)
+    assert models.translated("x", "ru", lambda p: " ") == "x" and models.chatted(lambda p: p, "q").endswith("q")
