@@ -83,12 +83,21 @@ class Scratch:
     def written(self, df: DataFrame) -> DataFrame:
         return _written(df, f"{self.folder}/{uuid.uuid4().hex}")
 
+    def drop(self, table: DataFrame) -> None:
+        """Deletes the files of one table of this scratch."""
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if self.folder.rsplit("/", 1)[1] in folder:
+                self._delete(folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.folder)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,8 +75,38 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+
+def _op13(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds: all distances, floors of means, one statement after the other."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, p) - 1 AS INTEGER) AS cluster, p AS c
+  FROM v ORDER BY sha256('3:' || vec_id) NULLS LAST, p LIMIT {k})"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT v.vec_id, v.p, n.cluster, n.d FROM v, LATERAL (
+    SELECT cluster, list_sum(list_transform(list_zip(v.p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM c{i}) n
+  QUALIFY rank() OVER (PARTITION BY v.vec_id, v.p ORDER BY n.d, n.cluster) = 1)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS MATERIALIZED (
+  SELECT cluster, list(m ORDER BY place) AS c FROM (
+    SELECT cluster, place, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (
+      SELECT cluster, place, sum(CAST(x AS HUGEINT)) AS s, count(*) AS n
+      FROM (SELECT cluster, unnest(p) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY cluster, place)) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return f"""WITH {",".join(parts)}
+SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
 ORACLES = {
     "op1_exact_top_k": OP1,
     "op3_format_chats": OP3,
     "op2_mix_sources": OP2,
+    "op13_centroid_clustering": _op13(),
 }

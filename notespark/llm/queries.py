@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import quality, secrets, toxicity
 from ._labels import remainder
+from .centroids import cluster_vectors
 from .chat import format_conversations, read_back
 from .decontamination import find_leaks
 from .mixing import mix_sources
@@ -105,6 +106,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64)
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_mix_sources": op2_mix_sources,
@@ -116,4 +121,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_secret_scans": op10_secret_scans,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
