@@ -10,6 +10,7 @@ from ._labels import remainder
 from .centroids import cluster_vectors
 from .chat import format_conversations, read_back
 from .decontamination import find_leaks
+from .lexical import ranked_search
 from .mixing import mix_sources
 from .simhash import simhash_components
 from .substrings import remove_repeated_passages
@@ -106,6 +107,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64)
 
@@ -121,5 +126,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_secret_scans": op10_secret_scans,
+    "op12_ranked_search": op12_ranked_search,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
