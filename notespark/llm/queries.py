@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ from .mixing import mix_sources
 from .simhash import simhash_components
 from .substrings import remove_repeated_passages
 from .tokencounts import count_tokens, load_vocabulary
+from .tokenfiles import write_and_verify
 from .topk import top_k
 
-#: The vocabulary that op4 counts with: a public tokenizer file, read where it is.
+#: The vocabularies that op4 counts and op11 encodes with: public tokenizer files, read where they are.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +111,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = Path(WORD_TOKENIZER).read_text(encoding="utf-8")
+    return write_and_verify(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
@@ -126,6 +135,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_secret_scans": op10_secret_scans,
+    "op11_token_files": op11_token_files,
     "op12_ranked_search": op12_ranked_search,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
