@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,9 +134,8 @@ def n_words(text: Column) -> Column:
 
 
 _SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
-_BASE = 0xD6E8FEB86659FD93
 _PIECE = 1 << 20
-_powers: list[np.ndarray] = []
+_SEED = 42
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -148,26 +148,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _piece_hashes(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some bytes, and where each word begins."""
     n = len(piece)
-    if not _powers or len(_powers[0]) < n:
-        ups, downs = (np.full(max(n, 2 * _PIECE), x, dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-        ups[0] = downs[0] = 1
-        _powers[:] = np.multiply.accumulate(ups), np.multiply.accumulate(downs)
+    padded = piece + bytes(8)
     data = np.frombuffer(piece, dtype=np.uint8)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    values = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    values ^= values >> np.uint64(29)
-    values *= _powers[0][:n]
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values, out=sums[1:])
-    return mixed((sums[ends] - sums[begins]) * _powers[1][begins] + (ends - begins).astype(np.uint64)), begins
+    sizes = (ends - begins).astype(np.uint64)
+    eight = np.ndarray((n + 1,), dtype="<u8", buffer=padded, strides=(1,))[begins].astype(np.uint64)
+    bits = np.uint64(8) * np.minimum(sizes, np.uint64(7))
+    hashes = mixed((eight & ((np.uint64(1) << bits) - np.uint64(1))) | (sizes << np.uint64(56)))
+    longer = np.flatnonzero(sizes > 7)
+    digest = xxhash.xxh64_intdigest
+    hashes[longer] = np.array([digest(piece[i:j], _SEED) for i, j in zip(begins[longer].tolist(), ends[longer].tolist())], dtype=np.uint64)
+    return hashes, begins
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some texts, one after the other, and the number of words before
-    each text.  A word's hash is a polynomial of its bytes, taken from prefix sums over all of them
-    at once; long texts go in pieces that end between words.
+    each text.  Words of up to seven bytes have hashes of their own (their bytes and length, mixed one to
+    one); longer ones have XXH64.  Long texts go in pieces that end between words.
     """
     joined = b"\n".join(texts)
     hashes, places, at = [], [], 0

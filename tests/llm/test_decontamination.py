@@ -103,3 +103,10 @@ def test_items_take_little_room():
     rng = random.Random(6)
     items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(50 + i)).encode()) for i in range(400)]
     assert len(pickle.dumps(d.Items(items, 0.8))) < 5 * sum(len(t) for _, t in items)
+
+
+def test_long_words_that_a_polynomial_confuses(spark):
+    from thue_morse import pair
+
+    texts = [" ".join([*(f"w{i}" for i in range(6)), long, *(f"v{i}" for i in range(6))]) for long in pair()]
+    _check(spark, list(enumerate(texts)), [(0, texts[0])])

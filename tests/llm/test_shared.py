@@ -31,3 +31,11 @@ def test_n_words(spark):
     texts = [None, *_texts(random.Random(2), 200)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", n_words(F.col("t")).alias("n")).collect()
     assert all(r.n == len((r.t or "").encode().split()) for r in rows)
+
+
+def test_long_words_that_a_polynomial_confuses():
+    from thue_morse import pair
+
+    a, b = (w.encode() for w in pair())
+    hashes, _ = word_hashes([a, b, b"seven77", b"seven77\x00", b"\x00", b"\x00\x00"])
+    assert len(set(hashes.tolist())) == 6

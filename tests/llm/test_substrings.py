@@ -66,3 +66,13 @@ def test_awkward_rows(spark):
     got = sorted(tuple(r) for r in remove_repeated_passages(same).select("doc_id", "n_words", "n_removed").collect())
     assert got == [(1, 30, 0), (1, 30, 0), (1, 40, 39), (2, 30, 30)] or got == [(1, 30, 0), (1, 30, 0), (1, 40, 40), (2, 30, 30)]
     assert remove_repeated_passages(same.limit(0)).count() == 0
+
+
+def test_long_words_that_a_polynomial_confuses(spark):
+    from thue_morse import pair
+
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, " ".join([*words[:13], long, *words[13:]])) for i, long in enumerate(pair())]
+    _check(spark, rows, 20)
+    assert [r.n_removed for r in remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()] == [0, 0]
+    _check(spark, [*rows, (2, rows[0][1])], 20)
