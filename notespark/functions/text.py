@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: English and Russian words that queries drop (fixed values).
+#: Frequent English and Russian words that queries drop: a list of our own.
 STOP_WORDS = frozenset(
     """a about above after again all am an and any are as at be because been before being below between both but by can
     did do does doing down during each few for from further had has have having he her here hers him his how i if in into
@@ -25,6 +25,14 @@ def query_tokens(query: str) -> list[str]:
     return kept or [w for w in re.split(r"[\W_]+", query) if w]
 
 
+def query_words(query: Column) -> Column:
+    """``query_tokens`` of a column, in lower case and without operators: what a search asks for."""
+    apart = lambda text: F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    kept = F.filter(apart(F.lower(query)), lambda w: (F.octet_length(w) >= 3) & ~w.isin(*sorted(STOP_WORDS)))
+    words = F.when(F.size(kept) > 0, kept).otherwise(apart(query))
+    return F.transform(F.filter(words, lambda w: ~w.isin("AND", "OR", "NOT")), F.lower)
+
+
 def n_tokens(text: Column) -> Column:
     """The larger of 1.5 tokens a word and a token for three characters, rounded up."""
     trimmed = F.btrim(F.regexp_replace(text, r"\s+", " "))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.text import STOP_WORDS
 from .operators.review import step_sql
 
 
@@ -24,6 +25,60 @@ r AS (SELECT *, row_number() OVER (ORDER BY bm25, doc_id) - 1 AS rank FROM b)
 SELECT {columns} FROM r WHERE rank < {limit}"""
 
 
+def _words(text: str) -> str:
+    """The words that a search for a text asks for."""
+    stop = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+    parts = lambda x: f"string_split_regex({x}, '[^\\p{{L}}\\p{{N}}]+')"
+    held = f"list_filter({parts(f'lower({text})')}, lambda t: strlen(t) >= 3 AND t NOT IN ({stop}))"
+    every = f"list_filter({parts(text)}, lambda t: t <> '')"
+    return f"list_transform(list_filter(CASE WHEN len({held}) > 0 THEN {held} ELSE {every} END, lambda t: t NOT IN ('AND', 'OR', 'NOT')), lambda t: lower(t))"
+
+
+def _search(asked: str, limit: int) -> str:
+    """CTEs up to ``hits`` (query_id, doc_id, bm25, rank) of a table of queries (query_id, text)."""
+    idf = "ln((n - df + 0.5) / (df + 0.5))"
+    return f"""asked AS MATERIALIZED ({asked}),
+t AS MATERIALIZED (SELECT query_id, unnest(w) AS token, unnest(range(len(w))) AS place FROM (SELECT query_id, {_words("text")} AS w FROM asked)),
+low AS (SELECT doc_id, greatest(length(text) - 2, 0) AS len, lower(text) AS low FROM documents),
+st AS (SELECT count(*) AS n, avg(len) AS mean FROM low),
+tf AS MATERIALIZED (SELECT token, doc_id, len, CAST((length(low) - length(replace(low, token, ''))) / length(token) AS BIGINT) AS tf
+  FROM (SELECT DISTINCT token FROM t WHERE length(token) >= 3) JOIN low ON contains(low, token)),
+idf AS (SELECT token, CASE WHEN {idf} > 0 THEN {idf} ELSE 1e-6 END AS idf FROM (SELECT token, count(*) AS df FROM tf GROUP BY token), st),
+sz AS (SELECT query_id, count(*) AS n_tokens FROM t GROUP BY query_id),
+sc AS (SELECT query_id, doc_id, -list_reduce(list(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) ORDER BY place), lambda a, x: a + x) AS bm25, count(*) = any_value(n_tokens) AS every
+  FROM t JOIN tf USING (token) JOIN idf USING (token) JOIN sz USING (query_id), st GROUP BY query_id, doc_id),
+top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY every DESC, bm25, doc_id) <= {limit}),
+hits AS (SELECT query_id, doc_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id) - 1 AS rank
+  FROM (SELECT *, max(every) OVER (PARTITION BY query_id) AS any_every FROM top) WHERE every OR NOT any_every)"""
+
+
+_ASKED = f"""SELECT doc_id AS query_id, array_to_string(({_words("text")})[1:4], ' ') AS text, embedding AS vector
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 20 = 0"""
+
+
+def _prefetched(limit: int) -> str:
+    """CTEs up to ``pairs`` (query_id, doc_id, kr, vr): hits of the keyword and the vector branch."""
+    return f"""{_search(_ASKED, limit)},
+near AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), CAST(vector AS DOUBLE[])) DESC, vec_id) - 1 AS rank
+  FROM embeddings, asked WHERE vector IS NOT NULL QUALIFY rank < {limit}),
+pairs AS (SELECT coalesce(h.query_id, n.query_id) AS query_id, coalesce(h.doc_id, n.doc_id) AS doc_id, h.rank AS kr, n.rank AS vr
+  FROM hits h FULL JOIN near n ON h.query_id = n.query_id AND h.doc_id = n.doc_id)"""
+
+
+_TERMS = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+_TABLE = f"""WITH {_prefetched(15)},
+inn AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0 / (61.0 + kr), 0) + coalesce(w / (61.0 + vr), 0) DESC, doc_id) - 1 AS rank
+  FROM pairs JOIN (SELECT query_id, CAST(1.5 * CASE WHEN len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) <= 3 THEN 1.5 ELSE 1 END AS DOUBLE) AS w FROM asked) USING (query_id)),
+pool AS (SELECT query_id, doc_id, CAST(1.0 AS DOUBLE) / (61 + rank) AS fused FROM inn WHERE rank < 5),
+boosted AS (SELECT query_id, pool.doc_id AS fragment_id, fused + least(0.05 * len(list_filter(string_split_regex(lower(asked.text), '\\s+'),
+    lambda x: length(x) > 1 AND x NOT IN ({_TERMS}) AND list_contains(string_split_regex(lower(documents.text), '[^\\p{{L}}\\p{{N}}]+'), x))), 0.5) AS score
+  FROM pool JOIN asked USING (query_id) JOIN documents ON documents.doc_id = pool.doc_id)
+SELECT query_id, fragment_id, round(CAST(score AS DOUBLE), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fragment_id) - 1 AS rank FROM boosted"""
+
+#: The documents after the change of ``kw_posting_after_change``.
+_CHANGED = """(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' heat' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0
+  UNION ALL SELECT doc_id + 10000000, text FROM documents WHERE doc_id % 11 = 0)"""
+
 _Q64 = "[" + ", ".join("1.0" if i % 2 else "-0.5" for i in range(64)) + "]::DOUBLE[]"
 _ONES = "[" + ", ".join(["1.0"] * 64) + "]::DOUBLE[]"
 _V = "CAST(embedding AS DOUBLE[])"
@@ -44,6 +99,9 @@ p AS (SELECT query, expected, vec_id AS doc, CAST(label AS VARCHAR) AS title,
   FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY a DESC, doc) - 1 AS kr, row_number() OVER (PARTITION BY query ORDER BY b DESC, doc) - 1 AS vr FROM p),
 h AS (SELECT query, expected, doc, title, CASE WHEN kr < 50 THEN kr END AS kr, CASE WHEN vr < 50 THEN vr END AS vr FROM r WHERE kr < 50 OR vr < 50),
+"""
+
+_POINTS = """
 g AS (SELECT * FROM (SELECT unnest([0.0, 0.2, 0.5, 0.8, 1.0, 1.2, 1.5, 1.8, 2.0, 2.5, 3.0]::DOUBLE[]) AS w), (SELECT unnest([10.0, 20.0, 40.0, 60.0, 80.0, 100.0]::DOUBLE[]) AS k),
   (SELECT unnest([0.0, 0.01, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3]::DOUBLE[]) AS tb)),
 e AS (SELECT w, k, tb, query, expected, doc, title, CAST(coalesce(1.0 / (k + kr + 1), 0) + coalesce(w / (k + vr + 1), 0) AS DOUBLE) AS fused FROM h, g),
@@ -146,6 +204,16 @@ ORACLES = {
     "kw_bm25_single": _bm25(["heat"], True),
     "kw_bm25_and": _bm25(["heat", "thing"], True),
     "kw_bm25_or_fallback": _bm25(["zzqx", "thing"], False),
+    "kw_posting_search": _bm25(["heat", "thing"], True),
+    "kw_posting_after_change": _bm25(["heat", "thing"], True).replace("FROM documents", f"FROM {_CHANGED}"),
+    "kw_posting_batch": f"""WITH {_search("SELECT item_id AS query_id, text FROM benchmark", 10)}
+SELECT query_id, doc_id AS fragment_id, round(bm25, 6) AS bm25, rank FROM hits""",
+    "hybrid_search_table": _TABLE,
+    "prefetched_hits": f"WITH {_prefetched(20)} SELECT query_id, doc_id AS fragment_id, kr AS keyword_rank, vr AS vector_rank FROM pairs",
+    "calibration_of_hits": f"""WITH {_prefetched(20)},
+q AS (SELECT doc_id AS query, lang || '/' || source AS expected, 1.0 AS relevance FROM documents WHERE doc_id % 20 = 0),
+h AS (SELECT query, expected, pairs.doc_id AS doc, lang || '/' || source AS title, kr, vr FROM pairs JOIN q ON query = query_id JOIN documents ON documents.doc_id = pairs.doc_id),
+{_POINTS} SELECT * FROM m""",
     "kw_match_counts": "SELECT t AS token, count(*) FILTER (contains(lower(text), t)) AS n FROM documents, (SELECT unnest(['the', 'license', 'tion']) AS t) GROUP BY t",
     "vec_topk_dot": f"SELECT vec_id, round(s, 6) AS similarity, row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS rank FROM (SELECT vec_id, list_dot_product({_V}, {_Q64}) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10)",
     "vec_topk_batch": f"""SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) - 1 AS rank
@@ -164,9 +232,9 @@ ORACLES = {
     "scoring_rerank": f"SELECT vec_id, label, round(CASE WHEN vec_id % 4 = 0 THEN (vec_id % 11) / 10.0 ELSE score END, 6) AS score FROM ({_SCORED})",
     "listwise_rerank": f"""WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS rank FROM ({_SCORED})), t AS (SELECT *, CASE WHEN rank % 3 = 1 THEN 100 - rank END AS place FROM r WHERE rank < 25)
       SELECT vec_id, rank, round(1 - CAST(row_number() OVER (ORDER BY place NULLS LAST, rank) - 1 AS DOUBLE) / 25, 6) AS score FROM t""",
-    "mrr_eval": _GRID + " SELECT * FROM m",
-    "grid_search_best": _GRID + " SELECT * FROM m ORDER BY mrr DESC, w, k, tb LIMIT 1",
-    "min_score_calibrated": _GRID + " SELECT round(CASE WHEN min(score) IS NULL THEN 0.005 ELSE greatest(least(min(score) * 0.9, 0.05), 0.001) END, 6) AS min_score FROM b WHERE w = 1.5 AND k = 60 AND tb = 0.05 AND rank <= 5",
+    "mrr_eval": _GRID + _POINTS + " SELECT * FROM m",
+    "grid_search_best": _GRID + _POINTS + " SELECT * FROM m ORDER BY mrr DESC, w, k, tb LIMIT 1",
+    "min_score_calibrated": _GRID + _POINTS + " SELECT round(CASE WHEN min(score) IS NULL THEN 0.005 ELSE greatest(least(min(score) * 0.9, 0.05), 0.001) END, 6) AS min_score FROM b WHERE w = 1.5 AND k = 60 AND tb = 0.05 AND rank <= 5",
     "token_counts": f"SELECT doc_id, {_TOKENS.format('text')} AS n FROM documents",
     "clean_markdown": _hashed("trim(lower(" + _replaced(_RULES + _NUMBERS + _LISTS + _LABELS + _EMPHASIS + _HEADINGS + _BLANKS) + "), ' ' || chr(9) || chr(10) || chr(13))"),
     "collapse_blank_lines": _hashed(_replaced(_BLANKS)),
@@ -253,7 +321,7 @@ ORACLES = {
       CASE WHEN o_orderkey % 6 = 0 THEN o_custkey END AS target_note_id, CASE WHEN o_orderkey % 6 = 2 THEN -o_custkey - 1 END AS parent_note_id, CASE o_orderkey % 6 WHEN 1 THEN 't' || o_custkey WHEN 2 THEN 't' END AS new_note_title,
       CASE WHEN o_orderkey % 6 = 3 THEN o_custkey END AS merge_into, CASE WHEN o_orderkey % 6 = 0 THEN 'a,b' END AS tags, CASE WHEN o_orderkey % 6 = 0 THEN CAST(0.5 AS DOUBLE) END AS confidence,
       CASE o_orderkey % 6 WHEN 3 THEN '' WHEN 4 THEN 'no target' WHEN 5 THEN '' ELSE 'r' END AS reason FROM orders""",
-    "calibration_run": _GRID + """, best AS (SELECT w, k, tb FROM m ORDER BY mrr DESC, w, k, tb LIMIT 1),
+    "calibration_run": _GRID + _POINTS + """, best AS (SELECT w, k, tb FROM m ORDER BY mrr DESC, w, k, tb LIMIT 1),
       least_score AS (SELECT CASE WHEN min(score) IS NULL THEN 0.005 ELSE greatest(least(min(score) * 0.9, 0.05), 0.001) END AS v FROM b JOIN best USING (w, k, tb) WHERE rank <= 5)
       SELECT 'retrieval_embedding_weight' AS key, CAST(w AS VARCHAR) AS value FROM best UNION ALL SELECT 'retrieval_rrf_k', CAST(k AS VARCHAR) FROM best UNION ALL SELECT 'retrieval_term_boost_weight', CAST(tb AS VARCHAR) FROM best
       UNION ALL SELECT 'retrieval_min_score', CAST(round(CAST(v AS DOUBLE), 6) AS VARCHAR) FROM least_score""",

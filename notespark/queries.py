@@ -16,7 +16,10 @@ from .functions import text as tx
 from .functions import notes as nt
 from .functions.vectors import cosine, dot, from_blob, norm, normalized, to_blob
 from .operators import calibration, cards, distribute, fragments, fusion, hierarchy, indexing, keyword, review, store, tags, vector
-from .plans.retrieve import hybrid_search
+from .operators.postings import KeywordIndex
+from .plans import batch
+from .plans.retrieve import Config, hybrid_search
+from .tables import kept
 from .streaming.jobs import streaming_index, streaming_reviews
 
 SINGLE, SEVERAL, RARE = "heat", "heat thing", "zzqx thing"
@@ -51,6 +54,76 @@ def kw_match_counts(spark, sf):
     return keyword.match_counts(_docs(spark, sf), ["the", "license", "tion"])
 
 
+def kw_posting_search(spark, sf):
+    """The same search as ``kw_bm25_and``, in an index of trigrams with places."""
+    asked = spark.createDataFrame([(0, SEVERAL)], "query_id int, text string")
+    found = KeywordIndex.built(_docs(spark, sf)).search(asked, 20)
+    return _rounded(found.drop("query_id"), "bm25")
+
+
+def _changed_docs(spark, sf):
+    """Documents after a change: every seventh is gone, every fifth other has a new text, some are new."""
+    docs, i = _docs(spark, sf), F.col("fragment_id")
+    more = F.concat("clean_text", F.lit(" heat"))
+    updated = docs.where((i % 5 == 0) & (i % 7 != 0)).select("fragment_id", more.alias("clean_text"))
+    added = docs.where(i % 11 == 0).select((i + 10_000_000).alias("fragment_id"), "clean_text")
+    return docs.where(i % 7 == 0).select("fragment_id"), updated.unionByName(added)
+
+
+def kw_posting_after_change(spark, sf):
+    """The search in an index that took the change in three more generations, one of them twice."""
+    docs = _docs(spark, sf)
+    gone, new = _changed_docs(spark, sf)
+    index = KeywordIndex.built(docs)
+    index.change(1, docs.where("fragment_id % 3 = 0").select("fragment_id", F.lit("heat thing").alias("clean_text")))
+    index.change(2, docs.where("fragment_id % 3 = 0"))  # and back again
+    for _ in range(2):
+        index.change(3, new, gone)
+    asked = spark.createDataFrame([(0, SEVERAL)], "query_id int, text string")
+    return _rounded(index.search(asked, 20).drop("query_id"), "bm25")
+
+
+def kw_posting_batch(spark, sf):
+    """The best ten documents for the text of every benchmark item, in one search."""
+    asked = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _rounded(KeywordIndex.built(_docs(spark, sf)).search(asked, 10), "bm25")
+
+
+def _asked_table(spark, sf):
+    """A query of every twentieth document: four of its words, and the vector of its number."""
+    docs = _t(spark, sf, "documents").where("doc_id % 20 = 0")
+    text = F.array_join(F.slice(tx.query_words(F.col("text")), 1, 4), " ")
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return docs.select("doc_id", text.alias("text")).join(vectors, "doc_id", "left").withColumnRenamed("doc_id", "query_id")
+
+
+def _fragment_vectors(spark, sf):
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("fragment_id"), "embedding")
+
+
+def hybrid_search_table(spark, sf):
+    """Hybrid retrieval of a table of queries, in one plan."""
+    docs = _docs(spark, sf)
+    asked = batch.variant_table(_asked_table(spark, sf))
+    found = batch.retrieve_table(docs, KeywordIndex.built(docs), _fragment_vectors(spark, sf), asked, Config(top_k=5))
+    return _rounded(found, "score")
+
+
+def prefetched_hits(spark, sf):
+    """The input of a calibration: the ranks of the best hits of either branch for a table of queries."""
+    return batch.prefetched(KeywordIndex.built(_docs(spark, sf)), _fragment_vectors(spark, sf), _asked_table(spark, sf), 20)
+
+
+def calibration_of_hits(spark, sf):
+    """The grid over prefetched keyword and vector hits; a query expects the language of its document."""
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.concat("lang", F.lit("/"), "source").alias("title"))
+    hits = prefetched_hits(spark, sf).withColumnRenamed("fragment_id", "doc").withColumnRenamed("query_id", "query")
+    wanted = docs.select(F.col("doc").alias("query"), F.col("title").alias("expected"))
+    rows = kept(hits.join(docs, "doc").join(wanted, "query").withColumn("boost_matches", (F.col("doc") % 3).cast("double")))
+    queries = docs.where("doc % 20 = 0").select(F.col("doc").alias("query"), F.lit(1.0).alias("relevance"))
+    return _rounded(calibration.grid_scores(rows, queries, calibration.grid(spark)), "mrr")
+
+
 def _query_vectors(spark, sf):
     rows = _t(spark, sf, "embeddings").where(F.col("vec_id") % 20 == 0)
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -161,24 +234,19 @@ def _calibration_hits(spark, sf):
     return hits, queries
 
 
-def _calibration(spark, sf):
-    hits, queries = _calibration_hits(spark, sf)
-    return calibration.fused_ranks(hits, calibration.grid(spark)), queries
-
-
 def mrr_eval(spark, sf):
-    ranked, queries = _calibration(spark, sf)
-    return _rounded(calibration.mean_reciprocal_rank(ranked, queries), "mrr")
+    hits, queries = _calibration_hits(spark, sf)
+    return _rounded(calibration.grid_scores(hits, queries, calibration.grid(spark)), "mrr")
 
 
 def grid_search_best(spark, sf):
-    ranked, queries = _calibration(spark, sf)
-    return calibration.best_point(_rounded(calibration.mean_reciprocal_rank(ranked, queries), "mrr"))
+    return calibration.best_point(mrr_eval(spark, sf))
 
 
 def min_score_calibrated(spark, sf):
-    ranked, _ = _calibration(spark, sf)
-    return _rounded(calibration.calibrated_min_score(ranked.where("w = 1.5 AND k = 60 AND tb = 0.05")), "min_score")
+    hits, _ = _calibration_hits(spark, sf)
+    point = calibration.grid(spark).where("w = 1.5 AND k = 60 AND tb = 0.05")
+    return _rounded(calibration.calibrated_min_score(calibration.fused_ranks(hits, point)), "min_score")
 
 
 def token_counts(spark, sf):
@@ -590,7 +658,8 @@ def draft_titles(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    hybrid_search, kw_bm25_single, kw_bm25_and, kw_bm25_or_fallback, kw_match_counts, vec_topk_dot, vec_topk_batch, vec_cosine_pairs,
+    hybrid_search, kw_bm25_single, kw_bm25_and, kw_bm25_or_fallback, kw_match_counts, kw_posting_search, kw_posting_after_change,
+    kw_posting_batch, hybrid_search_table, prefetched_hits, calibration_of_hits, vec_topk_dot, vec_topk_batch, vec_cosine_pairs,
     l2_norms, vec_dim_guard, semantic_merge_groups, best_per_group_top3, rrf_two_lists, rrf_weighted_k, term_boost, ratio_cutoff,
     min_score_filter, scoring_rerank, listwise_rerank, mrr_eval, grid_search_best, min_score_calibrated, token_counts, clean_markdown,
     collapse_blank_lines, strip_links, list_markers, heading_markers, latex_strip, fragment_lines, pack_char_budget, pack_token_budget,

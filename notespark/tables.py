@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 300_000
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; set here only where it is unset, and in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
@@ -25,7 +26,7 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once: written in ``spark.checkpoint.dir`` and read again, so that neither lineage
     nor what the optimizer knows of it grows with rounds.  A folder of its own is set only where that
     setting is missing, and in local mode only; tables stay until the folder is cleaned up."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -39,7 +40,7 @@ def numbered(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     """``df`` with its number (from 0) in ``order``, without bringing all rows to one task: a range
     sort, and for each of its partitions the number of rows before it."""
     number = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     placed = df.orderBy(*order).checkpoint().select("*", F.shiftright(number, 33).alias("_part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
