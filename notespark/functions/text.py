@@ -33,9 +33,13 @@ def query_words(query: Column) -> Column:
     return F.transform(F.filter(words, lambda w: ~w.isin("AND", "OR", "NOT")), F.lower)
 
 
+#: White space by the Unicode property.
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def n_tokens(text: Column) -> Column:
-    """The larger of 1.5 tokens a word and a token for three characters, rounded up."""
-    trimmed = F.btrim(F.regexp_replace(text, r"\s+", " "))
+    """The larger of 1.5 tokens a word (between Unicode white space) and a token for three characters, rounded up."""
+    trimmed = F.btrim(F.regexp_replace(text, f"{SPACE}+", " "))
     words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " ")))
     return F.ceil(F.greatest(words * 1.5, F.char_length(text) / 3)).cast("long")
 

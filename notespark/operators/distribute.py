@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.prompts import distribution, parsed_json
 from ..tables import kept
 from . import store
+from .hierarchy import depths
 from .tags import associated, resolved
 
 
@@ -71,21 +71,13 @@ def parents_by_title(chunks: DataFrame) -> DataFrame:
     return chunks.select("draft_id", "chunk_index").join(first, ["draft_id", "chunk_index"], "left")
 
 
-def creation_levels(plan: DataFrame, most_levels: int = 100) -> DataFrame:
-    """``chunk_index``, ``level``: rounds in which children are made; those in a cycle go to the root.
-    Each round is kept, so that it isn't computed again for the next one."""
+def creation_levels(plan: DataFrame) -> DataFrame:
+    """``chunk_index``, ``level``: rounds in which children are made; those in or below a cycle, or whose
+    parent isn't in the plan, go to the root."""
     rows = plan.select("chunk_index", "parent_index")
-    last = kept(rows.where("parent_index IS NULL").select("chunk_index", F.lit(0).cast("long").alias("level")))
-    done = [last]
-    for level in range(1, most_levels):
-        above = last.select(F.col("chunk_index").alias("_p"))
-        last = kept(rows.join(above, F.col("parent_index") == F.col("_p")).select("chunk_index", F.lit(level).cast("long").alias("level")))
-        if last.isEmpty():
-            break
-        done.append(last)
-    made = reduce(DataFrame.unionByName, done)
-    cyclic = rows.join(made, "chunk_index", "left_anti").select("chunk_index", F.lit(0).cast("long").alias("level"))
-    return made.unionByName(cyclic)
+    made = depths(rows.select(F.col("chunk_index").alias("id"), F.col("parent_index").alias("parent_id")))
+    joined = rows.select("chunk_index").join(made.withColumnRenamed("id", "chunk_index"), "chunk_index", "left")
+    return joined.select("chunk_index", F.coalesce("depth", F.lit(0)).cast("long").alias("level"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

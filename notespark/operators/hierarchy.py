@@ -14,30 +14,56 @@ from pyspark.sql import functions as F
 from ..tables import bounded, kept
 
 
-def tree_paths(nodes: DataFrame, most_levels: int = 100, orphans: bool = False) -> DataFrame:
+def tree_paths(nodes: DataFrame, orphans: bool = False) -> DataFrame:
     """``nodes`` (``id``, ``parent_id``, ``name``) reachable from roots, with ``path``, ``depth`` and
-    ``ancestors`` (ids from the root to the node itself).  One join a level, on the level's rows only,
-    each of them kept, so that no level is computed again for the next one.
+    ``ancestors`` (ids from the root to the node itself); nodes in or below a cycle are not.
 
-    With ``orphans`` a node whose parent isn't among ``nodes`` is a root too.
+    By pointer doubling: a row knows the ids and names up to some ancestor, and takes over what that one
+    knows; the number of rounds is the logarithm of the depth, whatever it is.  Two parts of a way that
+    share an id are a cycle.  With ``orphans`` a node whose parent isn't among ``nodes`` is a root too.
     """
-    root = nodes.where("parent_id IS NULL")
+    up = F.col("parent_id")
     if orphans:
-        known = nodes.select(F.col("id").alias("_known"))
-        root = nodes.join(known, F.col("parent_id") == F.col("_known"), "left_anti")
-    level = root.select("id", "parent_id", "name", F.col("name").alias("path"), F.lit(0).cast("long").alias("depth"), F.array("id").alias("ancestors"))
-    level = kept(level)
-    found = [level]
-    for _ in range(most_levels):
-        above = level.select(F.col("id").alias("_above"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), F.col("ancestors").alias("_ancestors"))
-        level = kept(nodes.join(above, F.col("parent_id") == F.col("_above")).select(
-            "id", "parent_id", "name", F.concat_ws("/", "_path", "name").alias("path"),
-            (F.col("_depth") + 1).alias("depth"), F.concat("_ancestors", F.array("id")).alias("ancestors"),
-        ))
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        found.append(level)
-    raise ValueError("the tree is deeper than most_levels, or has a cycle")
+        known = nodes.select(F.col("id").alias("_known")).distinct()
+        nodes_ = nodes.join(known, up == F.col("_known"), "left")
+        up = F.col("_known")
+    else:
+        nodes_ = nodes
+    rows = kept(nodes_.select("id", "parent_id", "name", up.alias("_up"), F.col("name").alias("path"), F.array("id").alias("ancestors")))
+    while not (open_ := rows.where("_up IS NOT NULL")).isEmpty():
+        above = rows.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("path").alias("_path"), F.col("ancestors").alias("_above"))
+        joined = open_.join(above, F.col("_up") == F.col("_id")).where(~F.arrays_overlap("_above", "ancestors"))
+        longer = joined.select("id", "parent_id", "name", F.col("_next").alias("_up"), F.concat_ws("/", "_path", "path").alias("path"), F.concat("_above", "ancestors").alias("ancestors"))
+        rows = kept(rows.where("_up IS NULL").unionByName(longer))
+    return rows.select("id", "parent_id", "name", "path", (F.size("ancestors") - 1).cast("long").alias("depth"), "ancestors")
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """``id`` and ``depth`` (0 for roots) of the ``nodes`` (``id``, ``parent_id``) that reach a root, by
+    pointer doubling over numbers alone."""
+    up = F.col("parent_id")
+    rows = kept(nodes.select("id", up.alias("_up"), up.isNotNull().cast("long").alias("depth")))
+    for _ in range(rows.count().bit_length() + 1):  # a way without a cycle is no longer than there are nodes
+        if (open_ := rows.where("_up IS NOT NULL")).isEmpty():
+            break
+        above = rows.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("depth").alias("_depth"))
+        longer = open_.join(above, F.col("_up") == F.col("_id")).select("id", F.col("_next").alias("_up"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        rows = kept(rows.where("_up IS NULL").unionByName(longer))
+    return rows.where("_up IS NULL").select("id", "depth")
+
+
+def below(rows: DataFrame, key: str, parent: str, node) -> DataFrame:
+    """``id`` of a node and of all below it, by pointer doubling: every row learns whether its way up
+    comes to the node, in as many rounds as the logarithm of the depth."""
+    own = F.col(key) == F.lit(node)
+    found = kept(rows.select(F.col(key).alias("id"), F.when(~own, F.col(parent)).alias("_up"), own.alias("_hit")))
+    for _ in range(found.count().bit_length() + 1):
+        if (open_ := found.where("_up IS NOT NULL")).isEmpty():
+            break
+        above = found.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("_hit").alias("_above"))
+        longer = open_.join(above, F.col("_up") == F.col("_id")).select("id", F.col("_next").alias("_up"), F.col("_above").alias("_hit"))
+        found = kept(found.where("_up IS NULL").unionByName(longer))
+    return found.where("_up IS NULL AND _hit").select("id")
 
 
 def closure(paths: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from .. import defaults as d
 from ..functions.notes import revision
 from ..functions.text import content_hash
 from ..tables import kept, numbered
+from .hierarchy import below
 from .indexing import deduplicated, drifted, fragment_changes, replaced
 
 VERSION = "1"
@@ -191,13 +192,7 @@ def paths_rewritten(rows: DataFrame, key: str, parent: str, changed: int, name:
     node = rows.where(F.col(key) == changed).first()
     if node is None:
         raise ValueError(f"no row {changed}")
-    below = [kept(rows.where(F.col(key) == changed).select(F.col(key).alias("_at")))]
-    for _ in range(100):  # levels of a tree
-        level = kept(rows.join(below[-1], F.col(parent) == F.col("_at")).select(F.col(key).alias("_at")))
-        if level.isEmpty():
-            break
-        below.append(level)
-    subtree = reduce(DataFrame.unionByName, below)
+    subtree = kept(below(rows, key, parent, changed).select(F.col("id").alias("_at")))
     above = new_parent if moved else node[parent]
     if moved and above is not None and not subtree.where(F.col("_at") == above).isEmpty():
         raise ValueError("a row can't move below itself")

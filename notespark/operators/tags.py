@@ -5,13 +5,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import kept
-from .hierarchy import closure, inherited, tags_of_strings, tree_paths
+from .hierarchy import below, closure, inherited, tags_of_strings, tree_paths
 from .indexing import replaced
 from .store import _among, paths_rewritten, with_ids
 
@@ -54,13 +52,7 @@ def _with_depths(tags: DataFrame) -> DataFrame:
 
 def deleted(tags: DataFrame, note_tags: DataFrame, fragment_tags: DataFrame, tag_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables without a tag and those below it, and without their links."""
-    levels = [kept(tags.where(F.col("tag_id") == tag_id).select("tag_id"))]
-    for _ in range(100):  # levels of a tree
-        level = kept(_among(tags, levels[-1], "parent_tag_id").select("tag_id"))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    gone = reduce(DataFrame.unionByName, levels)
+    gone = kept(below(tags, "tag_id", "parent_tag_id", tag_id))
     return tuple(_among(rows, gone, "tag_id", "left_anti") for rows in (tags, note_tags, fragment_tags))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.text import STOP_WORDS
+from .functions.text import SPACE, STOP_WORDS
 from .operators.review import step_sql
 
 
@@ -133,7 +133,8 @@ def _hashed(expression: str, table: str = _MARKED) -> str:
     return f"SELECT doc_id, sha256({expression}) AS h FROM {table}"
 
 
-_TOKENS = "CAST(ceil(greatest(CASE WHEN trim(regexp_replace({0}, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' ')) END * 1.5, length({0}) / 3.0)) AS BIGINT)"
+_APART = "trim(regexp_replace({0}, '" + SPACE.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g'))"
+_TOKENS = f"CAST(ceil(greatest(CASE WHEN {_APART} = '' THEN 0 ELSE len(string_split({_APART}, ' ')) END * 1.5, length({{0}}) / 3.0)) AS BIGINT)"
 _LINE = "(SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
