@@ -20,6 +20,7 @@ import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -155,8 +156,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     their own; rows without an id are indexed like others.  Further columns are left out.
     """
     docs = _docs(docs, id_col, text_col)
-    n = F.regexp_count("text", F.lit(TERM)).cast("long")
-    n_docs, n_terms = docs.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def count(batches):
+        for part in text_slices(batches, 0):
+            sizes = [len(terms_of(text)) for text in utf8(part.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in sizes)]), pa.array([sum(sizes)])], names=["docs", "terms"])
+
+    counted = docs.select("text").mapInArrow(count, "docs long, terms long")
+    n_docs, n_terms = counted.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
 
     def run(batches):
         task, made, shard = TaskContext.get().partitionId(), 0, _Shard()
@@ -204,10 +211,13 @@ class _Cursor:
         return True
 
 
+_doc = attrgetter("doc")
+
+
 def block_max_wand(cursors: list[_Cursor], norms: list[int], best: list, k: int, floor: int, key) -> None:
     """Puts the documents of one shard into ``best``, a heap of at most ``k`` pairs (score, key(document)),
     whose keys are larger for smaller ids.  Scores of ``floor`` and less cannot enter."""
-    alive = sorted((c for c in cursors if c.top and c.move(0)), key=lambda c: c.doc)
+    alive = sorted((c for c in cursors if c.top and c.move(0)), key=_doc)
     least = max(floor, best[0][0] - 1 if len(best) == k else 0)  # an equal score may still win by its id
     while alive:
         total, pivot = 0, -1
@@ -228,7 +238,7 @@ def block_max_wand(cursors: list[_Cursor], norms: list[int], best: list, k: int,
                 total += c.tops[block]
                 end = min(end, c.lasts[block] + 1)
         if total <= least:
-            target, moving = end, alive[: pivot + 1]
+            target = end
         elif alive[0].doc == doc:
             score = 0
             for c in alive[: pivot + 1]:
@@ -241,12 +251,12 @@ def block_max_wand(cursors: list[_Cursor], norms: list[int], best: list, k: int,
                     heapq.heapreplace(best, entry)
                 if len(best) == k:
                     least = max(floor, best[0][0] - 1)
-            target, moving = doc + 1, alive[: pivot + 1]
+            target = doc + 1
         else:
-            target, moving = doc, [c for c in alive[: pivot + 1] if c.doc < doc]
-        moved = [c for c in moving if c.move(target)]
-        kept = set(map(id, moving))
-        alive = sorted(moved + [c for c in alive if id(c) not in kept], key=lambda c: c.doc)
+            target = doc
+        moved = [c for c in alive[: pivot + 1] if c.doc >= target or c.move(target)]
+        alive[: pivot + 1] = moved
+        alive.sort(key=_doc)
 
 
 def _key(doc_id: int | None) -> int:
