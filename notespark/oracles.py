@@ -129,6 +129,9 @@ def _replaced(steps: list[tuple[str, str]], text: str = "text") -> str:
     return text
 
 
+_CLEANED = "trim(lower(" + _replaced(_RULES + _NUMBERS + _LISTS + _LABELS + _EMPHASIS + _HEADINGS + _BLANKS) + "), ' ' || chr(9) || chr(10) || chr(13))"
+
+
 def _hashed(expression: str, table: str = _MARKED) -> str:
     return f"SELECT doc_id, sha256({expression}) AS h FROM {table}"
 
@@ -237,7 +240,7 @@ h AS (SELECT query, expected, pairs.doc_id AS doc, lang || '/' || source AS titl
     "grid_search_best": _GRID + _POINTS + " SELECT * FROM m ORDER BY mrr DESC, w, k, tb LIMIT 1",
     "min_score_calibrated": _GRID + _POINTS + " SELECT round(CASE WHEN min(score) IS NULL THEN 0.005 ELSE greatest(least(min(score) * 0.9, 0.05), 0.001) END, 6) AS min_score FROM b WHERE w = 1.5 AND k = 60 AND tb = 0.05 AND rank <= 5",
     "token_counts": f"SELECT doc_id, {_TOKENS.format('text')} AS n FROM documents",
-    "clean_markdown": _hashed("trim(lower(" + _replaced(_RULES + _NUMBERS + _LISTS + _LABELS + _EMPHASIS + _HEADINGS + _BLANKS) + "), ' ' || chr(9) || chr(10) || chr(13))"),
+    "clean_markdown": _hashed(_CLEANED),
     "collapse_blank_lines": _hashed(_replaced(_BLANKS)),
     "strip_links": _hashed(_replaced(_LABELS)),
     "list_markers": _hashed(_replaced(_LISTS + _NUMBERS)),
@@ -285,6 +288,19 @@ h AS (SELECT query, expected, pairs.doc_id AS doc, lang || '/' || source AS titl
         AND (list_has_all(a.w, b.w) OR len(list_filter(b.w, lambda x: octet_length(encode(x)) >= 4 AND len(list_filter(a.w, lambda y: starts_with(y, x) OR starts_with(x, y))) > 0)) > 0) GROUP BY ALL""",
     "plan_create_child_levels": "SELECT p_partkey AS chunk_index, CASE WHEN p_partkey % 10 >= 7 THEN 0 ELSE p_partkey % 10 END AS level FROM part",
     "streaming_reviews": _FOLD,
+    "streaming_index_applied": f"""WITH s AS (
+      SELECT doc_id AS note_id, 0 AS order_index, text AS body FROM documents WHERE (doc_id % 3 = 0 OR doc_id % 5 <> 0) AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''
+      UNION ALL SELECT doc_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN 1 ELSE 0 END, '## More' || chr(10) || 'heat' FROM documents WHERE doc_id % 3 = 0)
+      SELECT note_id, CAST(order_index AS BIGINT) AS order_index, sha256({_CLEANED.replace("text", "body")}) AS hash FROM s""",
+    "streaming_cache_expiry": """WITH RECURSIVE r AS (
+        SELECT user_id, due, row_number() OVER (PARTITION BY user_id ORDER BY due) AS n
+        FROM (SELECT user_id, 1704067200 + (CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) * 60 AS due FROM events)),
+      f AS (SELECT user_id, n, due AS made, CAST(0 AS BIGINT) AS hits, CAST(1 AS BIGINT) AS misses FROM r WHERE n = 1
+        UNION ALL SELECT r.user_id, r.n, CASE WHEN r.due < f.made + 2592000 THEN f.made ELSE r.due END,
+          f.hits + CASE WHEN r.due < f.made + 2592000 THEN 1 ELSE 0 END, f.misses + CASE WHEN r.due < f.made + 2592000 THEN 0 ELSE 1 END
+        FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+      SELECT user_id, arg_max(hits, n) AS hits, arg_max(misses, n) AS misses, arg_max(made, n) AS made,
+        arg_max(made, n) + 2592000 > (SELECT max(due) - 3600 FROM r) AS held FROM f GROUP BY user_id""",
     "active_search": " UNION ALL ".join(f"SELECT * FROM ({_bm25(t, e, f'{n} AS query, doc_id AS fragment_id, round(bm25, 6) AS bm25, rank', 20, 'doc_id % 10 <> 0')})" for n, (t, e) in enumerate(((["heat"], True), (["heat", "thing"], True), (["zzqx", "thing"], False)))),
     "index_apply": f"""WITH {_STORE},
       n AS (SELECT doc_id AS note_id, pos AS order_index, sha256(CASE WHEN pos % 5 = 2 THEN 'edited ' || line ELSE line END) AS h FROM {_LINE} WHERE doc_id % 7 <> 0 AND doc_id % 3 <> 0 AND pos % 11 <> 10),

@@ -20,6 +20,8 @@ from .operators.postings import KeywordIndex
 from .plans import batch
 from .plans.retrieve import Config, hybrid_search
 from .tables import kept
+from .streaming.expiry import streaming_cache_expiry
+from .streaming.index import streaming_index_applied
 from .streaming.jobs import streaming_index, streaming_reviews
 
 SINGLE, SEVERAL, RARE = "heat", "heat thing", "zzqx thing"
@@ -666,6 +668,6 @@ QUERIES = {f.__name__: f for f in (
     dedup_fragments, content_hash_dups, incremental_diff, needs_indexing, drift_stale, cache_hit_miss, cache_ttl, lang_mode, note_tree_paths,
     descendant_pairs, hierarchical_due_counts, repeat_mode_tree, due_queue, due_count, tag_closure_build, tag_autocomplete, tag_subtree_notes,
     tag_inherit_anti, tag_move_closure, hashtag_extract, json_payload, review_state_fold, plan_append_concat, heuristic_parent,
-    plan_create_child_levels, fetch_page, streaming_index, streaming_reviews, active_search, index_apply, drift_apply, crash_recovery,
+    plan_create_child_levels, fetch_page, streaming_index, streaming_reviews, streaming_index_applied, streaming_cache_expiry, active_search, index_apply, drift_apply, crash_recovery,
     fetch_joined, content_update, delete_cascade, tag_resolve, tag_rename, tag_move, tag_delete, cards_rendered, chunk_candidates,
     decode_recommendations, fragment_notes, stemmed_boost, calibration_run, model_facts, blob_round_trip, draft_titles)}
