@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .symbols import ACCENTS, SYMBOLS
 
-#: Frequent words by language (fixed values), for telling languages in Latin letters apart.
+#: Frequent words by language, a list of our own, for telling languages in Latin letters apart.
 COMMON_WORDS = {
     "en": "the and of to in is that for it with as was on are this be".split(),
     "de": "der die und das von mit den ist nicht ein zu dem sich auf für im".split(),
@@ -22,7 +22,7 @@ COMMON_WORDS = {
     "pl": "i w na z się nie że do to jest jak po od dla przez są".split(),
     "nl": "de het een van en in is dat op te zijn voor met niet aan er".split(),
 }
-#: Letters that only one of the languages in Cyrillic letters has (fixed values).
+#: Letters that only one of the languages in Cyrillic letters has.
 OWN_LETTERS = {"be": "ў", "uk": "іїєґ"}
 
 

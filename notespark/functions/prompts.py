@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-#: Characters of a passage that a prompt shows.
+#: Characters of a passage that a prompt for ranking shows; other prompts show whole texts.
 PASSAGE_CHARS = 500
 
 
@@ -46,15 +46,16 @@ def translation(text: str, language: str) -> str:
     return f"Translate into the language '{language}', answering with the translation only: {text}"
 
 
-def distribution(chunks: list[tuple[int, str, list[str]]]) -> str:
-    """Asks what becomes of each chunk; ``chunks``: number, text, titles of candidate notes."""
-    parts = [f"Chunk {n}: {text[:PASSAGE_CHARS]}\nCandidates: {'; '.join(titles) or 'none'}" for n, text, titles in chunks]
+def distribution(chunks: list[tuple[int, str, list[tuple[int, str]]]]) -> str:
+    """Asks what becomes of each chunk; ``chunks``: number, whole text, ids and titles of candidate notes."""
+    named = lambda notes: "; ".join(f"[{i}] {title}" for i, title in notes) or "none"
+    parts = [f"Chunk {n}: {text}\nCandidates: {named(notes)}" for n, text, notes in chunks]
     actions = '"append" (target_note_id), "create_child" (parent_note_id or parent_chunk_index, new_note_title), "merge_with_chunk" (chunk_index) or "skip"'
     return "For each chunk of the draft choose an action: " + actions + ".\n" + "\n\n".join(parts) + "\nAnswer as a JSON array with action, its fields, tags, confidence and reason for each chunk."
 
 
 def card_front(section: str) -> str:
-    return f"Write one question that the following text answers, and nothing else:\n{section[:PASSAGE_CHARS]}"
+    return f"Write one question that the following text answers, and nothing else:\n{section}"
 
 
 def atoms(text: str) -> str:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import distribution, parsed_json
 from ..tables import kept
 from . import store
-from .hierarchy import depths
+from .hierarchy import depths, roots
 from .tags import associated, resolved
 
 
@@ -29,16 +30,15 @@ def appended(targets: DataFrame, chunks: DataFrame, draft_id: int | None = None,
     return joined.select("note_id", F.when(empty, F.col("_added")).otherwise(F.concat("content", F.lit(mark), "_added")).alias("content"))
 
 
-def resolve_merges(target: dict[int, int]) -> dict[int, int | None]:
-    """Where each merged chunk of one draft ends up (a plan has a few rows); None in a cycle."""
-    out: dict[int, int | None] = {}
-    for chunk in target:
-        seen, at = {chunk}, target[chunk]
-        while at in target and at not in seen:
-            seen.add(at)
-            at = target[at]
-        out[chunk] = None if at in seen else at
-    return out
+def resolve_merges(plan: DataFrame) -> DataFrame:
+    """``chunk_index`` and ``end`` of the chunks of a plan (``chunk_index``, ``merge_into``) that merge into
+    another one of it: the chunk that the chain of merges ends in, null in or behind a circle."""
+    known = plan.select(F.col("chunk_index").alias("_known"))
+    edges = plan.select("chunk_index", "merge_into").join(known, F.col("merge_into") == F.col("_known"), "left")
+    into = F.when(F.col("_known") != F.col("chunk_index"), F.col("_known"))
+    edges = kept(edges.select(F.col("chunk_index").alias("id"), into.alias("parent_id")))
+    ends = roots(edges).join(edges.where("parent_id IS NOT NULL").select("id"), "id")
+    return ends.select(F.col("id").alias("chunk_index"), F.col("root").alias("end"))
 
 
 def parents_by_title(chunks: DataFrame) -> DataFrame:
@@ -128,36 +128,61 @@ def candidate_notes(hits: DataFrame, most: int = 3, within: str = "chunk_index")
 
 
 def analyzed(chunks: DataFrame, candidates: DataFrame, titles: DataFrame, model) -> DataFrame:
-    """The recommendation for each chunk of a draft (``chunk_index``, ``text``; a few rows), asked for in
-    one prompt that names the candidates (``chunk_index``, ``note_id``); missing answers are ``skip``.
+    """The recommendation for each chunk of a draft (``chunk_index``, ``text``): one prompt with all chunks'
+    whole texts and their candidates (``chunk_index``, ``note_id``) by id and title; missing answers are ``skip``.
+
+    Drafts are asked for on the workers, ``draft_id`` by ``draft_id`` where chunks have one: a prompt is as
+    large as its draft, which is what a model gets at once.
     """
-    spark = chunks.sparkSession
-    named = candidates.join(titles.select("note_id", "title"), "note_id").groupBy("chunk_index").agg(F.array_sort(F.collect_list("title")).alias("titles"))
-    rows = chunks.join(named, "chunk_index", "left").orderBy("chunk_index").select("chunk_index", "text", "titles").collect()
-    answers = parsed_json(model(distribution([(r[0], r[1], r[2] or []) for r in rows])), list)
-    texts = [(r[0], json.dumps(answers[i]) if i < len(answers) else None) for i, r in enumerate(rows)]
-    found = spark.createDataFrame(texts, f"chunk_index {chunks.schema['chunk_index'].dataType.simpleString()}, recommendation string")
+    named = candidates.join(titles.select("note_id", "title"), "note_id").groupBy("chunk_index").agg(F.array_sort(F.collect_list(F.struct("note_id", "title"))).alias("notes"))
+    draft = F.col("draft_id") if "draft_id" in chunks.columns else F.lit(0)
+    rows = chunks.join(named, "chunk_index", "left").select(draft.alias("_draft"), "chunk_index", "text", "notes")
+    drafts = rows.groupBy("_draft").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text", "notes"))).alias("chunks"))
+
+    @F.pandas_udf("array<string>")
+    def ask(batch: pd.Series) -> pd.Series:
+        def one(own):
+            held = [(c["chunk_index"], c["text"] or "", [(n["note_id"], n["title"]) for n in (c["notes"] if c["notes"] is not None else [])]) for c in own]
+            answers = parsed_json(model(distribution(held)), list)
+            return [json.dumps(answers[i]) if i < len(answers) else None for i in range(len(held))]
+
+        return batch.map(one)
+
+    answered = drafts.select(F.explode(F.arrays_zip(F.col("chunks.chunk_index"), ask("chunks").alias("answer"))).alias("x"))
+    found = kept(answered.select(F.col("x.chunk_index").alias("chunk_index"), F.col("x.answer").alias("recommendation")))
     return chunks.join(decoded(found), "chunk_index")
 
 
+def audited(runs: DataFrame, plan: DataFrame, draft_id: int, now: int, version: str = "v1") -> DataFrame:
+    """``distribution_runs`` with a row for an analysis: the draft and its whole plan as JSON."""
+    chunks = F.array_sort(F.collect_list(F.struct("chunk_index", F.struct(*[c for c in plan.columns if c != "chunk_index"]).alias("plan"))))
+    row = plan.agg(F.to_json(F.struct(F.lit(draft_id).alias("draft_id"), chunks.alias("chunks"))).alias("plan_json"))  # one draft
+    new = row.select(F.lit(draft_id).cast("long").alias("draft_id"), "plan_json", F.lit(version).alias("generator_version"), F.lit("analyzed").alias("status"), F.lit(now).cast("long").alias("created_at"))
+    return runs.unionByName(store.with_ids(new, runs, "run_id", "draft_id"), allowMissingColumns=True)
+
+
+def audit_applied(runs: DataFrame, draft_id: int, result: str, now: int) -> DataFrame:
+    """``distribution_runs`` after the last analysis of a draft was applied, with its result."""
+    last = runs.where((F.col("draft_id") == draft_id) & (F.col("status") == "analyzed")).agg(F.max("run_id").alias("_last"))
+    marked = runs.join(F.broadcast(last), F.col("run_id") == F.col("_last"), "left")  # one row
+    hit = F.col("_last").isNotNull()
+    changes = {"status": F.lit("applied"), "result_json": F.lit(result), "applied_at": F.lit(now).cast("long")}
+    return marked.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()}).drop("_last")
+
+
 def merged(plan: DataFrame) -> DataFrame:
-    """``plan`` (``chunk_index``, ``text``, ``action``, ``merge_into``, ...; one draft's few rows) with the
-    texts of merged chunks behind those of the chunks they end in; merges into nothing and in circles skip."""
-    rows = plan.select("chunk_index", "text", "merge_into").orderBy("chunk_index").collect()
-    known = {r[0] for r in rows}
-    wanted = {r[0]: r[2] for r in rows if r[2] is not None and r[2] in known and r[2] != r[0]}
-    ends = resolve_merges(wanted)
-    texts = {r[0]: r[1] or "" for r in rows}
-    joined = {n: [t] if t else [] for n, t in texts.items()}
-    for n, end in ends.items():
-        if end is not None and texts[n]:
-            joined[end].append(texts[n])
-    kind = plan.schema["chunk_index"].dataType.simpleString()
-    new = plan.sparkSession.createDataFrame([(n, "" if n in ends else "\n\n".join(joined[n])) for n in texts], f"_chunk {kind}, _text string")
-    out = plan.join(F.broadcast(new), F.col("chunk_index") == F.col("_chunk"))
+    """``plan`` (``chunk_index``, ``text``, ``action``, ``merge_into``, ...) of a draft with the texts of merged
+    chunks, in their order, behind those of the chunks they end in; merges into nothing and in circles skip."""
+    rows = kept(plan)
+    ends = kept(resolve_merges(rows))
+    texts = rows.select("chunk_index", F.coalesce("text", F.lit("")).alias("text")).join(ends, "chunk_index", "left_anti").select(F.col("chunk_index").alias("_chunk"), F.lit(0).alias("_part"), "chunk_index", "text")
+    added = rows.join(ends.where("end IS NOT NULL"), "chunk_index").select(F.col("end").alias("_chunk"), F.lit(1).alias("_part"), "chunk_index", F.coalesce("text", F.lit("")).alias("text"))
+    parts = texts.unionByName(added).where("text <> ''").groupBy("_chunk").agg(F.array_sort(F.collect_list(F.struct("_part", "chunk_index", "text"))).alias("_parts"))
+    joined = parts.select("_chunk", F.array_join(F.transform("_parts", lambda x: x["text"]), "\n\n").alias("_text"))
+    out = rows.join(joined, F.col("chunk_index") == F.col("_chunk"), "left")
     skips = F.col("action") == "merge_with_chunk"
     out = out.withColumn("reason", F.when(skips, "Merged into another chunk").otherwise(F.col("reason")))
-    return out.withColumn("text", F.col("_text")).withColumn("action", F.when(skips, "skip").otherwise(F.col("action"))).drop("_chunk", "_text", "merge_into")
+    return out.withColumn("text", F.coalesce("_text", F.lit(""))).withColumn("action", F.when(skips, "skip").otherwise(F.col("action"))).drop("_chunk", "_text", "merge_into")
 
 
 def applied(tables: dict[str, DataFrame], plan: DataFrame, draft_id: int, now: int, stamp: str) -> dict[str, DataFrame]:

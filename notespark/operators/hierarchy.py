@@ -52,6 +52,19 @@ def depths(nodes: DataFrame) -> DataFrame:
     return rows.where("_up IS NULL").select("id", "depth")
 
 
+def roots(nodes: DataFrame) -> DataFrame:
+    """``id`` and ``root`` (itself for roots) of the ``nodes`` (``id``, ``parent_id``), null in or below a
+    cycle or a missing parent; by pointer doubling."""
+    rows = kept(nodes.select("id", F.col("parent_id").alias("_up"), F.when(F.col("parent_id").isNull(), F.col("id")).alias("root")))
+    for _ in range(rows.count().bit_length() + 1):
+        if (open_ := rows.where("_up IS NOT NULL")).isEmpty():
+            break
+        above = rows.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("root").alias("_root"))
+        longer = open_.join(above, F.col("_up") == F.col("_id"), "left").select("id", F.col("_next").alias("_up"), F.col("_root").alias("root"))
+        rows = kept(rows.where("_up IS NULL").unionByName(longer))
+    return rows.select("id", F.when(F.col("_up").isNull(), F.col("root")).alias("root"))
+
+
 def below(rows: DataFrame, key: str, parent: str, node) -> DataFrame:
     """``id`` of a node and of all below it, by pointer doubling: every row learns whether its way up
     comes to the node, in as many rounds as the logarithm of the depth."""
@@ -89,21 +102,51 @@ def due_counts(schedules: DataFrame, cards: DataFrame, now: Column) -> DataFrame
     return own.unionByName(by_card).groupBy("id").agg(F.sum("due").alias("due"))
 
 
-def repeat_tree(paths: DataFrame, schedules: DataFrame, cards: DataFrame, now: Column) -> DataFrame:
-    """``id``, ``name``, ``parent_id``, ``path``, ``depth``, own and subtree numbers of due and of all
-    cards and own new ones, ordered by path."""
+def own_counts(schedules: DataFrame, cards: DataFrame, now: Column) -> DataFrame:
+    """``id`` (note) and its own cards that are not suspended: ``due``, ``new`` and ``total``."""
     planned = schedules.where("target_type = 'card'")
     state = F.col("state") if "state" in schedules.columns else F.lit(None).cast("string")
     planned = planned.select("target_id", "next_review", state.alias("state"))
     live = cards.where("status <> 'suspended'").join(planned, F.col("card_id") == F.col("target_id"), "left")
     counts = [F.count_if(F.col("next_review") <= now).alias("due"), F.count_if(F.col("state") == "new").alias("new"), F.count(F.lit(1)).alias("total")]
-    own = live.groupBy(F.col("note_id").alias("id")).agg(*counts)
+    return live.groupBy(F.col("note_id").alias("id")).agg(*counts)
+
+
+def repeat_tree(paths: DataFrame, schedules: DataFrame, cards: DataFrame, now: Column) -> DataFrame:
+    """``id``, ``name``, ``parent_id``, ``path``, ``depth``, own and subtree numbers of due and of all
+    cards and own new ones, ordered by path."""
+    own = own_counts(schedules, cards, now)
     below = roll_up(paths, own, "due", "total").select("id", F.col("due").alias("subtree_due"), F.col("total").alias("subtree_total"))
     joined = paths.select("id", "name", "parent_id", "path", "depth").join(own, "id", "left").join(below, "id")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(f"own_{c}")
     return joined.select("id", "name", "parent_id", "path", "depth", zero("due"), zero("new"), zero("total"), "subtree_due", "subtree_total").orderBy("path")
 
 
+def visible_due_counts(notes: DataFrame, schedules: DataFrame, cards: DataFrame, now: Column) -> DataFrame:
+    """``id`` and ``due`` in its subtree for each note (``id``, ``parent_id``, ``lifecycle``) that isn't deleted.
+    A note below a deleted one heads a tree of its own; what hangs on deleted notes counts nowhere."""
+    seen = notes.where("lifecycle <> 'deleted'").select("id", "parent_id", F.col("id").cast("string").alias("name"))
+    return roll_up(tree_paths(seen, orphans=True), due_counts(schedules, cards, now), "due")
+
+
+def active_repeat_tree(notes: DataFrame, schedules: DataFrame, cards: DataFrame, now: Column) -> DataFrame:
+    """``repeat_tree`` over the active notes (``id``, ``parent_id``, ``name``, ``path``, ``lifecycle``) that active
+    ones join to a root; orphans aren't listed.  Numbers of a subtree count by the notes' cached paths, so
+    they hold the cards of all notes there, whatever their lifecycle."""
+    tree = tree_paths(notes.where("lifecycle = 'active'")).select("id", "name", "parent_id", "depth")
+    cached = notes.select(F.col("id").alias("_id"), "path")
+    listed = tree.join(cached, F.col("id") == F.col("_id")).drop("_id")
+    parts = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    own = own_counts(schedules, cards, now)
+    under = notes.select("id", F.explode(prefixes).alias("_path")).join(own, "id").groupBy("_path")  # an equi-join instead of path prefixes
+    sums = under.agg(F.sum("due").alias("subtree_due"), F.sum("total").alias("subtree_total"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    joined = listed.join(own, "id", "left").join(sums, F.col("path") == F.col("_path"), "left")
+    return joined.select("id", "name", "parent_id", "path", "depth", zero("due", "own_due"), zero("new", "own_new"), zero("total", "own_total"),
+                         zero("subtree_due", "subtree_due"), zero("subtree_total", "subtree_total")).orderBy("path")
+
+
 def tags_of_strings(paths: DataFrame) -> DataFrame:
     """All levels of tag strings (``path``, with slashes): ``path``, ``parent_path``, ``name``, ``depth``."""
     parts = F.split(F.lower(F.btrim("path")), "/")

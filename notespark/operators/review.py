@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as d
+from ..tables import kept
+from .store import with_ids
 
 AGAIN, HARD, GOOD, EASY = 1, 2, 3, 4
 
@@ -87,9 +89,12 @@ def due(schedules: DataFrame, now: int, limit: int | None = None) -> DataFrame:
 
 def rescheduled(schedules: DataFrame, requests: DataFrame, now: int) -> DataFrame:
     """``schedules`` with next reviews ``days`` from now for the targets in ``requests`` (target_type,
-    target_id, days); targets without a schedule get one.
+    target_id, days); targets without a schedule get a new one, with an id of its own.  Of several requests
+    for a target the soonest counts; one without a target or days does nothing.
     """
     keys = ["target_type", "target_id"]
-    joined = schedules.join(requests, keys, "full")
-    at = F.when(F.col("days").isNotNull(), F.lit(now) + (F.col("days") * 86400).cast("long")).otherwise(F.col("next_review"))
-    return joined.withColumn("next_review", at).withColumn("state", F.coalesce("state", F.lit("new"))).drop("days")
+    wanted = requests.where("target_type IS NOT NULL AND target_id IS NOT NULL AND days IS NOT NULL").groupBy(*keys).agg(F.min("days").alias("days"))
+    at = F.lit(now) + (F.col("days") * 86400).cast("long")
+    moved = schedules.join(wanted, keys, "left").withColumn("next_review", F.when(F.col("days").isNotNull(), at).otherwise(F.col("next_review")))
+    absent = kept(wanted.join(schedules.select(*keys), keys, "left_anti").withColumn("next_review", at).withColumn("state", F.lit("new")).drop("days"))
+    return moved.drop("days").unionByName(with_ids(absent, schedules, "schedule_id", *keys), allowMissingColumns=True)

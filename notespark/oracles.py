@@ -203,6 +203,8 @@ _IDS = "ids AS (SELECT row_number() OVER (ORDER BY depth, path) AS tag_id, path,
 
 _MARK = "(chr(10) || chr(10) || '<!-- imported from draft #7 on 2024-01-01T00:00:00+00:00 -->' || chr(10))"
 
+_LIVED = "lived AS (SELECT id, CAST(nodes.parent_id AS BIGINT) AS parent_id, nodes.name, path, CASE WHEN id % 13 = 0 THEN 'deleted' WHEN id % 17 = 0 THEN 'draft' ELSE 'active' END AS lifecycle FROM t JOIN nodes USING (id))"
+
 ORACLES = {
     "hybrid_search": _HYBRID,
     "kw_bm25_single": _bm25(["heat"], True),
@@ -264,6 +266,30 @@ h AS (SELECT query, expected, pairs.doc_id AS doc, lang || '/' || source AS titl
     "hierarchical_due_counts": f"""WITH RECURSIVE {_TREE}, {_DUE},
       own AS (SELECT tid AS id, count(*) AS due FROM sched WHERE tt = 'note' AND nr <= {_NOW} GROUP BY tid UNION ALL SELECT note_id, count(*) FROM sched JOIN cards ON tid = card_id WHERE tt = 'card' AND nr <= {_NOW} AND status <> 'suspended' GROUP BY note_id)
       SELECT ancestor_id AS id, CAST(coalesce(sum(due), 0) AS BIGINT) AS due FROM closed LEFT JOIN own ON descendant_id = own.id GROUP BY ancestor_id""",
+    "visible_due_counts": f"""WITH RECURSIVE {_TREE}, {_DUE}, {_LIVED},
+      tree AS (SELECT id AS parent, id AS descendant FROM lived WHERE lifecycle <> 'deleted'
+        UNION ALL SELECT tree.parent, lived.id FROM tree JOIN lived ON lived.parent_id = tree.descendant WHERE lived.lifecycle <> 'deleted'),
+      own AS (SELECT tid AS id, count(*) AS due FROM sched WHERE tt = 'note' AND nr <= {_NOW} GROUP BY tid UNION ALL SELECT note_id, count(*) FROM sched JOIN cards ON tid = card_id WHERE tt = 'card' AND nr <= {_NOW} AND status <> 'suspended' GROUP BY note_id)
+      SELECT parent AS id, CAST(coalesce(sum(due), 0) AS BIGINT) AS due FROM tree LEFT JOIN own ON descendant = own.id GROUP BY parent""",
+    "active_repeat_tree": f"""WITH RECURSIVE {_TREE}, {_DUE}, {_LIVED},
+      tree AS (SELECT id, name, parent_id, path, CAST(0 AS BIGINT) AS depth FROM lived WHERE parent_id IS NULL AND lifecycle = 'active'
+        UNION ALL SELECT l.id, l.name, l.parent_id, l.path, tree.depth + 1 FROM tree JOIN lived l ON l.parent_id = tree.id WHERE l.lifecycle = 'active'),
+      own AS (SELECT note_id AS id, count(*) FILTER (nr <= {_NOW}) AS due, count(*) FILTER (state = 'new') AS new, count(*) AS total FROM cards LEFT JOIN (SELECT * FROM sched WHERE tt = 'card') ON tid = card_id WHERE status <> 'suspended' GROUP BY note_id),
+      sub AS (SELECT tree.id, CAST(coalesce(sum(due), 0) AS BIGINT) AS subtree_due, CAST(coalesce(sum(total), 0) AS BIGINT) AS subtree_total
+        FROM tree LEFT JOIN (SELECT path AS p, due, total FROM own JOIN lived USING (id)) ON p = path OR starts_with(p, path || '/') GROUP BY tree.id)
+      SELECT tree.id, name, CAST(parent_id AS BIGINT) AS parent_id, path, depth, coalesce(due, 0) AS own_due, coalesce(new, 0) AS own_new, coalesce(total, 0) AS own_total, subtree_due, subtree_total
+      FROM tree LEFT JOIN own USING (id) JOIN sub USING (id)""",
+    "reschedule": f"""WITH {_DUE},
+      held AS (SELECT tid * 2 AS schedule_id, tt, tid, nr, state FROM sched WHERE tt = 'card'),
+      asked AS (SELECT tt, tid, CAST(tid % 30 AS DOUBLE) AS days FROM sched WHERE tt = 'card' AND tid % 4 = 0),
+      top AS (SELECT max(schedule_id) AS m FROM held)
+      SELECT schedule_id, tt AS target_type, tid AS target_id, CASE WHEN days IS NOT NULL THEN {_NOW} + CAST(days * 86400 AS BIGINT) ELSE nr END AS next_review, state FROM held LEFT JOIN asked USING (tt, tid)
+      UNION ALL SELECT m + row_number() OVER (ORDER BY s_suppkey), 'note', s_suppkey + 100000000, {_NOW} + 43200, 'new' FROM supplier, top""",
+    "merge_ends": """WITH RECURSIVE e AS (
+        SELECT a.c_custkey AS c, b.c_custkey AS p FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 50 = 7 THEN c_custkey + 1 WHEN c_custkey % 77 = 0 THEN -5 ELSE c_custkey - 1 END AS into_ FROM customer) a
+        LEFT JOIN customer b ON b.c_custkey = into_),
+      w AS (SELECT c, p AS at_, 1 AS n FROM e WHERE p IS NOT NULL UNION ALL SELECT w.c, e.p, n + 1 FROM w JOIN e ON e.c = w.at_ WHERE e.p IS NOT NULL AND n < 60)
+      SELECT c AS chunk_index, max(CASE WHEN at_ IN (SELECT c FROM e WHERE p IS NULL) THEN at_ END) AS "end" FROM w GROUP BY c""",
     "repeat_mode_tree": f"""WITH RECURSIVE {_TREE}, {_DUE},
       own AS (SELECT note_id AS id, count(*) FILTER (nr <= {_NOW}) AS due, count(*) FILTER (state = 'new') AS new, count(*) AS total FROM cards LEFT JOIN (SELECT * FROM sched WHERE tt = 'card') ON tid = card_id WHERE status <> 'suspended' GROUP BY note_id),
       sub AS (SELECT ancestor_id AS id, CAST(coalesce(sum(due), 0) AS BIGINT) AS subtree_due, CAST(coalesce(sum(total), 0) AS BIGINT) AS subtree_total FROM closed LEFT JOIN own ON descendant_id = own.id GROUP BY 1)

@@ -397,6 +397,41 @@ def repeat_mode_tree(spark, sf):
     return tree.withColumnRenamed("name", "title")
 
 
+def _lived_notes(spark, sf):
+    """The tree with a lifecycle, and the paths that all notes have cached."""
+    paths = hierarchy.tree_paths(_tree(spark, sf)).select("id", "parent_id", "name", "path")
+    return paths.withColumn("lifecycle", F.when(F.col("id") % 13 == 0, "deleted").when(F.col("id") % 17 == 0, "draft").otherwise("active"))
+
+
+def visible_due_counts(spark, sf):
+    cards, schedules = _cards(spark, sf)
+    return hierarchy.visible_due_counts(_lived_notes(spark, sf), schedules, cards, F.lit(NOW))
+
+
+def active_repeat_tree(spark, sf):
+    cards, schedules = _cards(spark, sf)
+    return hierarchy.active_repeat_tree(_lived_notes(spark, sf), schedules, cards, F.lit(NOW))
+
+
+def reschedule(spark, sf):
+    """Schedules after requests for every fourth card, some twice, and for notes that had none."""
+    _, rows = _cards(spark, sf)
+    i = F.col("target_id")
+    schedules = rows.where("target_type = 'card'").withColumn("schedule_id", i * 2)
+    cards = rows.where("target_type = 'card' AND target_id % 4 = 0").select("target_type", "target_id", (i % 30).cast("double").alias("days"))
+    again = cards.where(i % 8 == 0).withColumn("days", F.col("days") + 5)
+    fresh = _t(spark, sf, "supplier").select(F.lit("note").alias("target_type"), (F.col("s_suppkey") + 10**8).alias("target_id"), F.lit(0.5).alias("days"))
+    found = review.rescheduled(schedules, cards.unionByName(again).unionByName(fresh), NOW)
+    return found.select("schedule_id", "target_type", "target_id", "next_review", "state")
+
+
+def merge_ends(spark, sf):
+    """Where chains of merges end: most customers merge into the one before; some chains end in a circle."""
+    c = F.col("c_custkey")
+    into = F.when(c % 10 == 0, None).when(c % 50 == 7, c + 1).when(c % 77 == 0, -5).otherwise(c - 1)
+    return distribute.resolve_merges(_t(spark, sf, "customer").select(c.alias("chunk_index"), into.alias("merge_into")))
+
+
 def due_queue(spark, sf):
     _, schedules = _cards(spark, sf)
     rows = schedules.where("target_type = 'card'").select(F.col("target_id").alias("schedule_id"), "next_review")
@@ -666,7 +701,7 @@ QUERIES = {f.__name__: f for f in (
     min_score_filter, scoring_rerank, listwise_rerank, mrr_eval, grid_search_best, min_score_calibrated, token_counts, clean_markdown,
     collapse_blank_lines, strip_links, list_markers, heading_markers, latex_strip, fragment_lines, pack_char_budget, pack_token_budget,
     dedup_fragments, content_hash_dups, incremental_diff, needs_indexing, drift_stale, cache_hit_miss, cache_ttl, lang_mode, note_tree_paths,
-    descendant_pairs, hierarchical_due_counts, repeat_mode_tree, due_queue, due_count, tag_closure_build, tag_autocomplete, tag_subtree_notes,
+    descendant_pairs, hierarchical_due_counts, repeat_mode_tree, visible_due_counts, active_repeat_tree, reschedule, merge_ends, due_queue, due_count, tag_closure_build, tag_autocomplete, tag_subtree_notes,
     tag_inherit_anti, tag_move_closure, hashtag_extract, json_payload, review_state_fold, plan_append_concat, heuristic_parent,
     plan_create_child_levels, fetch_page, streaming_index, streaming_reviews, streaming_index_applied, streaming_cache_expiry, active_search, index_apply, drift_apply, crash_recovery,
     fetch_joined, content_update, delete_cascade, tag_resolve, tag_rename, tag_move, tag_delete, cards_rendered, chunk_candidates,

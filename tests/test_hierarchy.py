@@ -1,9 +1,12 @@
+import json
 import random
 
 from pyspark.sql import functions as F
 
+from notespark.functions import prompts
 from notespark.functions import text as tx
-from notespark.operators import distribute, fragments, hierarchy, store, tags
+from notespark.operators import distribute, fragments, hierarchy, review, store, tags
+from notespark.schemas import SCHEMAS
 
 
 def _nodes(spark, rows):
@@ -86,3 +89,28 @@ def test_packing_many_lines(spark):
         open_.append(line)
     want.append(open_)
     assert got == [(len(w), sum(map(len, w)), "\n\n".join(w)) for w in want]
+
+
+def test_targets_without_a_schedule_get_one(spark):
+    held = spark.createDataFrame([(5, "card", 1, 10, "review"), (9, "note", 1, 20, "new")], "schedule_id long, target_type string, target_id long, next_review long, state string")
+    asked = [("card", 1, 2.0), ("card", 1, 1.0), ("card", 2, 3.0), ("note", 7, 0.5), ("note", 7, 0.5), ("note", None, 1.0), (None, 3, 1.0), ("note", 8, None)]
+    requests = spark.createDataFrame(asked, "target_type string, target_id long, days double")
+    got = sorted(tuple(r[c] for c in held.columns) for r in review.rescheduled(held, requests, 1000).collect())
+    assert got == [(5, "card", 1, 87400, "review"), (9, "note", 1, 20, "new"), (10, "card", 2, 260200, "new"), (11, "note", 7, 44200, "new")]
+
+
+def test_an_analysis_is_written_down(spark):
+    runs = spark.createDataFrame([], SCHEMAS["distribution_runs"])
+    plan = spark.createDataFrame([(1, "b", "skip"), (0, "a", "append")], "chunk_index long, text string, action string")
+    runs = distribute.audited(distribute.audited(runs, plan, 4, 100), plan, 5, 101)
+    after = {r.run_id: r for r in distribute.audit_applied(runs, 4, "{}", 200).collect()}
+    assert {i: (r.draft_id, r.status, r.created_at, r.applied_at) for i, r in after.items()} == {1: (4, "applied", 100, 200), 2: (5, "analyzed", 101, None)}
+    said = json.loads(after[1].plan_json)
+    assert said["draft_id"] == 4 and [c["chunk_index"] for c in said["chunks"]] == [0, 1] and said["chunks"][0]["plan"] == {"text": "a", "action": "append"}
+
+
+def test_prompts_show_whole_chunks_and_the_ids_of_candidates():
+    text = "word " * 500
+    said = prompts.distribution([(0, text, [(17, "Math")]), (1, "short", [])])
+    assert text in said and "[17] Math" in said and "none" in said
+    assert text in prompts.card_front(text)

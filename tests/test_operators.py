@@ -125,7 +125,9 @@ def test_calibration_prefers_the_expected(spark):
 
 
 def test_plans(spark):
-    assert distribute.resolve_merges({1: 2, 2: 3, 5: 6, 6: 5}) == {1: 3, 2: 3, 5: None, 6: None}
+    merging = [(1, 2), (2, 3), (3, None), (5, 6), (6, 5), (7, 6), (8, 99), (9, 9), *((i, i + 1) for i in range(1000, 1400)), (1400, None)]
+    ends = distribute.resolve_merges(spark.createDataFrame(merging, "chunk_index long, merge_into long"))
+    assert {r.chunk_index: r.end for r in ends.collect()} == {1: 3, 2: 3, 5: None, 6: None, 7: None} | {i: 1400 for i in range(1000, 1400)}
     chunks = spark.createDataFrame([(0, 0, "Calculus Limits"), (0, 1, "Calculus")], "draft_id long, chunk_index long, title string")
     assert {r.chunk_index: r.parent_index for r in distribute.parents_by_title(chunks).collect()} == {0: 1, 1: None}
     plan = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4)], "chunk_index long, parent_index long")
