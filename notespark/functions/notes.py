@@ -81,30 +81,6 @@ def revision(old: Column, new: Column) -> Column:
     return run(old, new)
 
 
-def fuzzy_score(query: str, title: str) -> float | None:
-    """How well the query's characters occur in order: adjacent ones and word starts count more; None
-    if one is missing.
-    """
-    wanted, given = query.lower(), (title or "").lower()
-    score, at, last = 0.0, 0, -2
-    for c in wanted:
-        found = given.find(c, at)
-        if found < 0:
-            return None
-        starts = found == 0 or not given[found - 1].isalnum()
-        score += 1 + (2 if found == last + 1 else 0) + (1.5 if starts else 0)
-        last, at = found, found + 1
-    return score - 0.01 * len(given)
-
-
-def fuzzy(query: str, title: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: fuzzy_score(query, t)).astype("float64")
-
-    return run(title)
-
-
 def _cells(row: str) -> list[str]:
     return [c.strip() for c in row.strip().removeprefix("|").removesuffix("|").split("|")]
 

@@ -98,16 +98,41 @@ def either(query: str) -> str:
     return " OR ".join(query_tokens(query))
 
 
-def snippet(text: Column, query: str, around: int = 16) -> Column:
-    """The text around the first token that matches, every match marked."""
-    terms = "|".join(re.escape(t) for t in query_tokens(query))
-    lowered = [F.instr(F.lower(text), t.lower()) for t in query_tokens(query)]
-    first = F.coalesce(F.least(*[F.when(p > 0, p) for p in lowered]) if len(lowered) > 1 else F.when(lowered[0] > 0, lowered[0]), F.lit(1))
-    begin = F.greatest(first - around, F.lit(1))
-    cut = F.substr(text, begin, F.lit(2 * around))
-    marked = F.regexp_replace(cut, f"(?i)({terms})", "<b>$1</b>")
-    behind = F.when(begin + 2 * around <= F.char_length(text), "…").otherwise("")
-    return F.concat(F.when(begin > 1, "…").otherwise(""), marked, behind)
+#: Trigrams that a snippet shows.
+SNIPPET = 32
+
+
+def snippet(text: Column, query: str, size: int = SNIPPET) -> Column:
+    """The window of ``size`` trigrams with the most different words of the query (of equals the first),
+    its matches in the middle, every match marked; the text's beginning if there is none.
+
+    Matches come from left to right, longer words first.  The fold over them carries those of the last
+    window only, so it is linear in the matches, however long the text.
+    """
+    words = sorted({t.lower() for t in query_tokens(query)}, key=lambda t: (-len(t), t))
+    pattern = "|".join(re.escape(t) for t in words) or "$^"
+    lowered = F.lower(text)
+    gaps, found = F.split(lowered, pattern), F.regexp_extract_all(lowered, F.lit(f"({pattern})"), 1)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, t: F.struct(F.char_length(g).alias("gap"), t.alias("word")))
+    start = F.expr("named_struct('at', 0, 'recent', cast(array() AS array<struct<at: int, end: int, word: string>>), 'score', 0, 'begin', 0, 'end', 0)")
+    width = size + 2  # characters of so many trigrams
+
+    def step(a: Column, x: Column) -> Column:
+        at = a["at"] + x["gap"]
+        end = at + F.char_length(x["word"])
+        own = F.struct(at.alias("at"), end.alias("end"), x["word"].alias("word"))
+        recent = F.concat(F.filter(a["recent"], lambda r: r["at"] + width >= end), F.array(own))
+        score = 1000 * F.size(F.array_distinct(F.transform(recent, lambda r: r["word"]))) + F.size(recent)
+        better = score > a["score"]
+        pick = lambda new, old: F.when(better, new).otherwise(old)
+        return F.struct(end.alias("at"), recent.alias("recent"), pick(score, a["score"]).alias("score"), pick(recent[0]["at"], a["begin"]).alias("begin"), pick(end, a["end"]).alias("end"))
+
+    best = F.aggregate(steps, start, step, lambda a: F.struct(a["begin"].alias("begin"), a["end"].alias("end")))
+    length = F.char_length(text)
+    begin = F.greatest(F.least(best["begin"] - F.floor((width - (best["end"] - best["begin"])) / 2).cast("int"), length - width), F.lit(0))
+    cut = F.substr(text, begin + 1, F.lit(width))
+    marked = F.regexp_replace(cut, f"(?iu)({pattern})", "<b>$1</b>") if words else cut
+    return F.concat(F.when(begin > 0, "…").otherwise(""), marked, F.when(begin + width < length, "…").otherwise(""))
 
 
 def _everything():

@@ -75,6 +75,32 @@ boosted AS (SELECT query_id, pool.doc_id AS fragment_id, fused + least(0.05 * le
   FROM pool JOIN asked USING (query_id) JOIN documents ON documents.doc_id = pool.doc_id)
 SELECT query_id, fragment_id, round(CAST(score AS DOUBLE), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fragment_id) - 1 AS rank FROM boosted"""
 
+_FUZZY = """WITH RECURSIVE
+ti AS (SELECT p_partkey AS note_id, p_name || ' / ' || upper(p_type[1]) || lower(p_type[2:]) || '-' || p_size AS title FROM part),
+q AS (SELECT p_partkey AS query_id, string_split(p_name, ' ')[1][1:2] || string_split(p_name, ' ')[2][1:3] || lower(p_type[1]) AS query FROM part WHERE p_partkey % 20 = 0),
+f AS (
+  SELECT query, title, 0 AS i, CAST(NULL AS VARCHAR) AS was, list_transform(range(length(query)), lambda x: -1000000) AS here, list_transform(range(length(query)), lambda x: -1000000) AS gap, -1000000 AS best
+  FROM (SELECT DISTINCT query FROM q), (SELECT DISTINCT title FROM ti)
+  UNION ALL
+  SELECT query, title, i + 1, c, new, list_transform(range(1, length(query) + 1), lambda j: greatest(here[j] - 3, gap[j] - 1, -1000000)), greatest(best, new[-1])
+  FROM (SELECT *, list_transform(range(1, length(query) + 1), lambda j: CASE WHEN lower(query)[j] <> c THEN -1000000 WHEN j = 1 THEN 16 + 2 * bonus
+      ELSE greatest(16 + bonus + greatest(here[j - 1] + 4, gap[j - 1]), -1000000) END) AS new
+    FROM (SELECT *, lower(title)[i + 1] AS c, CASE WHEN was IS NULL THEN 8 WHEN regexp_matches(lower(title)[i + 1], '[\\p{L}\\p{N}]') AND NOT regexp_matches(was, '[\\p{L}\\p{N}]') THEN 7 ELSE 0 END AS bonus
+      FROM f WHERE i < length(title)))),
+s AS (SELECT query, title, best AS score FROM f WHERE i = length(title) AND best > -500000),
+r AS (SELECT query_id, note_id, title, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, note_id) - 1 AS rank FROM q JOIN s USING (query) JOIN ti USING (title))
+SELECT * FROM r WHERE rank < 5"""
+
+_SNIPPETS = """WITH d AS (SELECT doc_id, text, string_split_regex(lower(text), 'heat|thing') AS gaps, regexp_extract_all(lower(text), 'heat|thing') AS words
+  FROM documents WHERE lower(text) LIKE '%heat%' OR lower(text) LIKE '%thing%'),
+m AS (SELECT doc_id, n, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS e
+  FROM (SELECT doc_id, unnest(gaps[:len(words)]) AS gap, unnest(words) AS word, unnest(range(len(words))) AS n FROM d)),
+w AS (SELECT a.doc_id, a.n, a.e, min(b.e - length(b.word)) AS b, 1000 * count(DISTINCT b.word) + count(*) AS score
+  FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.n <= a.n AND b.e - length(b.word) + 34 >= a.e GROUP BY a.doc_id, a.n, a.e),
+p AS (SELECT doc_id, b, e FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n) = 1),
+c AS (SELECT doc_id, text, greatest(least(b - CAST(floor((34 - (e - b)) / 2.0) AS INTEGER), length(text) - 34), 0) AS b FROM p JOIN d USING (doc_id))
+SELECT doc_id AS fragment_id, CASE WHEN b > 0 THEN '…' ELSE '' END || regexp_replace(substr(text, b + 1, 34), '(heat|thing)', '<b>\\1</b>', 'gi') || CASE WHEN b + 34 < length(text) THEN '…' ELSE '' END AS snippet FROM c"""
+
 #: The documents after the change of ``kw_posting_after_change``.
 _CHANGED = """(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' heat' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0
   UNION ALL SELECT doc_id + 10000000, text FROM documents WHERE doc_id % 11 = 0)"""
@@ -220,6 +246,8 @@ SELECT query_id, doc_id AS fragment_id, round(bm25, 6) AS bm25, rank FROM hits""
 q AS (SELECT doc_id AS query, lang || '/' || source AS expected, 1.0 AS relevance FROM documents WHERE doc_id % 20 = 0),
 h AS (SELECT query, expected, pairs.doc_id AS doc, lang || '/' || source AS title, kr, vr FROM pairs JOIN q ON query = query_id JOIN documents ON documents.doc_id = pairs.doc_id),
 {_POINTS} SELECT * FROM m""",
+    "fuzzy_titles": _FUZZY,
+    "kw_snippets": _SNIPPETS,
     "kw_match_counts": "SELECT t AS token, count(*) FILTER (contains(lower(text), t)) AS n FROM documents, (SELECT unnest(['the', 'license', 'tion']) AS t) GROUP BY t",
     "vec_topk_dot": f"SELECT vec_id, round(s, 6) AS similarity, row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS rank FROM (SELECT vec_id, list_dot_product({_V}, {_Q64}) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10)",
     "vec_topk_batch": f"""SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) - 1 AS rank

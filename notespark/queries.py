@@ -16,6 +16,7 @@ from .functions import text as tx
 from .functions import notes as nt
 from .functions.vectors import cosine, dot, from_blob, norm, normalized, to_blob
 from .operators import calibration, cards, distribute, fragments, fusion, hierarchy, indexing, keyword, review, store, tags, vector
+from .operators import titles as titles_search
 from .operators.postings import KeywordIndex
 from .plans import batch
 from .plans.retrieve import Config, hybrid_search
@@ -126,6 +127,21 @@ def calibration_of_hits(spark, sf):
     return _rounded(calibration.grid_scores(rows, queries, calibration.grid(spark)), "mrr")
 
 
+def fuzzy_titles(spark, sf):
+    """The five best titles for abbreviations of every twentieth part's name."""
+    parts = _t(spark, sf, "part")
+    words = F.split("p_name", " ")
+    short = F.concat(F.substring(words[0], 1, 2), F.substring(words[1], 1, 3), F.lower(F.substring("p_type", 1, 1)))
+    titles = parts.select(F.col("p_partkey").alias("note_id"), F.concat("p_name", F.lit(" / "), F.initcap("p_type"), F.lit("-"), F.col("p_size")).alias("title"))
+    return titles_search.fuzzy_search(titles, parts.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), short.alias("query")), 5)
+
+
+def kw_snippets(spark, sf):
+    """The best window of each document that holds a word of the query."""
+    rows = _docs(spark, sf).where("lower(clean_text) LIKE '%heat%' OR lower(clean_text) LIKE '%thing%'")
+    return rows.select("fragment_id", keyword.snippet(F.col("clean_text"), SEVERAL).alias("snippet"))
+
+
 def _query_vectors(spark, sf):
     rows = _t(spark, sf, "embeddings").where(F.col("vec_id") % 20 == 0)
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -696,7 +712,7 @@ def draft_titles(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     hybrid_search, kw_bm25_single, kw_bm25_and, kw_bm25_or_fallback, kw_match_counts, kw_posting_search, kw_posting_after_change,
-    kw_posting_batch, hybrid_search_table, prefetched_hits, calibration_of_hits, vec_topk_dot, vec_topk_batch, vec_cosine_pairs,
+    kw_posting_batch, hybrid_search_table, prefetched_hits, calibration_of_hits, fuzzy_titles, kw_snippets, vec_topk_dot, vec_topk_batch, vec_cosine_pairs,
     l2_norms, vec_dim_guard, semantic_merge_groups, best_per_group_top3, rrf_two_lists, rrf_weighted_k, term_boost, ratio_cutoff,
     min_score_filter, scoring_rerank, listwise_rerank, mrr_eval, grid_search_best, min_score_calibrated, token_counts, clean_markdown,
     collapse_blank_lines, strip_links, list_markers, heading_markers, latex_strip, fragment_lines, pack_char_budget, pack_token_budget,

@@ -9,8 +9,6 @@ from notespark.plans.index import index
 def test_plain_functions():
     assert n.detect_language("der Hund und die Katze") == "de" and n.detect_language("123") == "en"
     assert "+Line two is added" in n.revision_patch("Line one of text", "Line one of text\nLine two is added")
-    assert n.fuzzy_score("mth", "Math") is not None and n.fuzzy_score("xyz", "Math") is None
-    assert n.fuzzy_score("math", "Math") > n.fuzzy_score("math", "my aunt thinks highly")
     table = "| a | b |\n|---|---|\n| 1 | 2 |\n|  |  |\n| 3 | |"
     assert n.linear_table(table) == "1. a: 1. b: 2\n2. a: 3" and n.linear_table("| a |") == "| a |"
     assert n.split_tables(f"x\n{table}\ny") == [(False, "x"), (True, table), (False, "y")]
