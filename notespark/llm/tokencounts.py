@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -57,6 +58,7 @@ class Counter(dict):
                 self.automaton.add_word(piece, (len(piece), score, number == vocabulary.unknown))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary.pieces) - UNKNOWN
+        self.longest = max(map(len, self.known), default=0)
         self.bytes = all(f"<0x{b:02X}>" in self.known for b in range(256))
 
     def __missing__(self, cut: str) -> int:
@@ -67,11 +69,18 @@ class Counter(dict):
             self[cut] = value
         return value
 
-    def _run(self, text: str) -> int:
-        return 1 if text in self.known or not self.bytes else len(text.encode())
-
     def count(self, cut: str) -> int:
         n = len(cut)
+        sizes: list[int] = []  # UTF-8 bytes before each place, once an unknown character asks for them
+
+        def run(begin: int, end: int) -> int:
+            """Tokens of a run of unknown characters: its bytes, or one if it is a piece after all."""
+            if not self.bytes or (end - begin <= self.longest and cut[begin:end] in self.known):
+                return 1
+            if not sizes:
+                sizes.extend(accumulate((1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in cut), initial=0))
+            return sizes[end] - sizes[begin]
+
         score = [0.0] + [None] * n
         pieces = [0] * (n + 1)
         since = [-1] * (n + 1)  # where the run of unknown characters that ends here began
@@ -83,7 +92,7 @@ class Counter(dict):
             for e in range(here + 1, end + 1):
                 if not single[e] and (score[e] is None or self.unknown + score[e - 1] > score[e]):
                     score[e], since[e] = self.unknown + score[e - 1], since[e - 1] if since[e - 1] >= 0 else e - 1
-                    pieces[e] = pieces[since[e]] + self._run(cut[since[e] : e])
+                    pieces[e] = pieces[since[e]] + run(since[e], e)
 
         for last, (length, value, is_unknown) in self.automaton.iter(cut):
             end = last + 1
@@ -97,7 +106,7 @@ class Counter(dict):
                 score[end] = candidate
                 if is_unknown:
                     since[end] = since[start] if since[start] >= 0 else start
-                    pieces[end] = pieces[since[end]] + self._run(cut[since[end] : end])
+                    pieces[end] = pieces[since[end]] + run(since[end], end)
                 else:
                     since[end], pieces[end] = -1, pieces[start] + 1
         close(n)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -47,3 +48,13 @@ def test_awkward_rows(spark):
     got = sorted((str(r.doc_id), r.n_tokens) for r in count_tokens(docs, vocabulary).collect())
     assert got == sorted((str(i), plain(t or "")) for i, t, _ in rows)
     assert count_tokens(docs.limit(0), vocabulary).count() == 0
+
+
+def test_long_runs_of_unknown_characters():
+    vocabulary = load_vocabulary(TOKENIZER)
+    plain, counter = _library(vocabulary), Counter(vocabulary)
+    for text in ("\U0001fae8" * 3000, "\U0001fae8a日\U0001fae9" * 500, "x" + "\U0001fae8" * 50 + "<0x41>" + "\U0001fae8" * 50):
+        assert counter.text(text) == plain(text)
+    begin = time.perf_counter()
+    assert counter.text("\U0001fae8" * 200_000) == 1 + 4 * 200_000
+    assert time.perf_counter() - begin < 30
