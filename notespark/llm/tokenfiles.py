@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,18 @@ from ._shared import _shared_folder, bounded, text_slices, utf8, written
 
 #: Bytes of a stripe before compression, rows of a row group, and share of false hits of a Bloom filter.
 STRIPE_BYTES, GROUP_ROWS, FALSE_HITS = 16 << 20, 1000, 0.01
-#: Bytes of words that a worker remembers the ids of, and of a piece of a long text.
-CACHE_BYTES, PIECE = 16 << 20, 1 << 20
+#: Bytes of words that a worker remembers the ids of, of a piece of a long text, and words encoded at a time.
+CACHE_BYTES, PIECE, WORDS = 12 << 20, 1 << 20, 1 << 12
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_BEFORE_MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
 
 
 class WordEncoder:
     """Ids of whole texts, as the library gives them.
 
-    For tokenizers whose pieces never reach across white space, and that drop it: a text's ids are those of
-    its words (by space and \\x09-\\x0D) one after the other.  Words are encoded by the library when first
+    For tokenizers that ignore case, and whose pieces never reach across white space, which they drop: a
+    text's ids are those of its words (by space and \\x09-\\x0D) one after the other.  Words are encoded by the library when first
     seen, and remembered within ``CACHE_BYTES``.
     """
 
@@ -51,49 +53,81 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.rows, self.bytes = {}, 0
-        self.begins, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
+        self.ends, self.ids = np.zeros(1 << 10, np.int64), np.empty(1 << 12, np.int32)
 
     def _learn(self, words: list[bytes]) -> None:
         if self.bytes > CACHE_BYTES:
             self._forget()
         new = [w for w in dict.fromkeys(words) if w not in self.rows]
-        if not new:
-            return
-        found = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        found = [np.array(e.ids, np.int32) for e in found]
-        for w in new:
-            self.rows[w] = len(self.rows)
-        self.bytes += sum(map(len, new))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(sizes)))
-        self.ids = np.concatenate((self.ids, *found))
-
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of all words of a text."""
-        words = text.split()
+        for begin in range(0, len(new), WORDS):
+            some = new[begin : begin + WORDS]
+            found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            n = len(self.rows)
+            ends = self.ends[n] + np.cumsum([len(x) for x in found])
+            self.ends, self.ids = _room(self.ends, n + len(some) + 1), _room(self.ids, int(ends[-1]))
+            self.ids[self.ends[n] : ends[-1]] = [x for ids in found for x in ids]
+            self.ends[n + 1 : n + 1 + len(some)] = ends
+            self.rows.update(zip(some, range(n, n + len(some))))
+            self.bytes += sum(map(len, some))
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and the number of ids of each."""
         try:
             rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         except KeyError:
-            self._learn(words)
-            # after forgetting, words seen before may be missing, too: all of this text are known now
+            self._learn(words)  # knows all of these afterwards
             rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        begins = self.begins[rows]
-        sizes = self.begins[rows + 1] - begins
+        begins = self.ends[rows]
+        sizes = self.ends[rows + 1] - begins
         before = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(begins - before, sizes) + np.arange(int(sizes.sum()))]
+        return self.ids[np.repeat(begins - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
     def texts(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with ``end_id`` behind it, and the number of each."""
-        parts, counts = [], np.zeros(len(texts), np.int64)
-        end = np.array([end_id], np.int32)
+        counts, parts = np.zeros(len(texts), np.int64), [np.empty(0, np.int32)]
+        words, owners, size = [], [], 0
+
+        def flush() -> None:
+            ids, sizes = self.encode(words)
+            parts.append(ids)
+            np.add.at(counts, np.repeat([o for o, _ in owners], [n for _, n in owners]), sizes)
+            words.clear(), owners.clear()
+
         for i, text in enumerate(texts):
             for piece in _pieces(text):
-                ids = self.encode(piece)
-                parts.append(ids)
-                counts[i] += len(ids)
-            parts.append(end)
-            counts[i] += 1
-        return np.concatenate(parts) if parts else np.empty(0, np.int32), counts
+                own = _plain(piece).split()
+                words += own
+                owners.append((i, len(own)))
+                size += len(piece)
+                if size >= PIECE:
+                    flush()
+                    size = 0
+        if owners:
+            flush()
+        flat = np.concatenate(parts)
+        out = np.full(len(flat) + len(texts), end_id, np.int32)
+        ends = np.cumsum(counts + 1) - 1
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside] = flat
+        return out, counts + 1
+
+
+@lru_cache(1)
+def _encoder(tokenizer: str) -> WordEncoder:
+    """One encoder a Python worker, which its tasks share."""
+    return WordEncoder(tokenizer)
+
+
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """``values`` with room for ``n``: twice as much at least, if there is to be more."""
+    return values if n <= len(values) else np.concatenate((values, np.zeros(max(n - len(values), len(values)), values.dtype)))
+
+
+def _plain(piece: bytes) -> bytes:
+    """A text with fewer different words and the same ids: these tokenizers ignore case, and begin a new piece
+    between a letter or digit and a mark.  Only their special tokens, which begin with ``<|``, mind case."""
+    return piece if b"<|" in piece else _BEFORE_MARK.sub(b" ", piece.lower())
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -123,7 +157,7 @@ def write_token_ids(
     dealt = keyed.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
 
     def run(batches):
-        encoder, part, before = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for rows in text_slices(batches, 1):
             ids, counts = encoder.texts(utf8(rows.column(1)), end_id)
             ends = np.cumsum(counts)

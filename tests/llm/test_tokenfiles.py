@@ -42,7 +42,7 @@ def test_words_one_by_one_are_the_whole_text(library, monkeypatch):
     monkeypatch.setattr(tokenfiles, "CACHE_BYTES", 300)
     rng = random.Random(5)
     marks = [" ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "　", " ", "a", "A'S", "'re", "'", "é", "é", "́", "İ", "Σ", "1", "٣", "!?",
-             "<|endoftext|>", "<|startoftext|>", "<|", "\U0001f600", "한글", "가", "\x00", "�", "ﬁ", "word", "Don't"]
+             "<|endoftext|>", "<|startoftext|>", "<|", "\U0001f600", "한글", "가", "\x00", "�", "ﬁ", "word", "Don't", ".", ",", ";", ":", "!", "Z", "5", "\u0338", "\u037e", "<|ENDOFTEXT|>", "ABC."]
     texts = ["".join(rng.choices(marks, k=rng.randint(0, 25))) for _ in range(3000)]
     encoder = WordEncoder(JSON)
     for begin in range(0, len(texts), 50):
