@@ -14,7 +14,7 @@ def _nodes(spark, rows):
 
 
 def test_a_long_chain_and_a_cycle(spark):
-    n = 5000
+    n = 5000  # thirteen rounds
     chain = [(i, i - 1 if i else None, "x") for i in range(n)]
     cycle = [(n + i, n + (i + 1) % 7, "c") for i in range(7)] + [(n + 50, n + 3, "below a cycle"), (n + 60, n + 60, "its own parent"), (n + 70, 10**9, "orphan")]
     order = [*chain, *cycle]
@@ -29,7 +29,7 @@ def test_a_long_chain_and_a_cycle(spark):
 
 
 def test_paths_of_deep_trees(spark):
-    n = 700
+    n = 300
     rows = [(i, i - 1 if i else None, f"n{i}") for i in range(n)] + [(n + i, n + (i + 1) % 5, "c") for i in range(5)] + [(800, n + 2, "d"), (801, 999, "o"), (802, 801, "p")]
     found = {r.id: r for r in hierarchy.tree_paths(_nodes(spark, rows)).collect()}
     assert set(found) == set(range(n))

@@ -3,6 +3,7 @@ import os
 import pytest
 
 from notespark.functions.models import HashingEmbedder
+from notespark.operators import postings
 from notespark.sources.imports import Imports
 from notespark.streaming.index import IndexTables
 
@@ -31,7 +32,8 @@ def _report(rows):
     return {os.path.basename(r.path): (r.n_fragments, r.error) for r in rows.collect()}
 
 
-def test_a_broken_file_is_one_row_and_a_dead_run_leaves_nothing(spark, tmp_path):
+def test_a_broken_file_is_one_row_and_a_dead_run_leaves_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "BUCKETS", 3)
     folder = tmp_path / "notes"
     _write(folder, "Math.md", "intro\n## Limits\nbanana")
     _write(folder, "sub/Broken.md", b"\xff\xfe no text")
