@@ -61,8 +61,8 @@ def format_conversations(
     Nulls and other cases: a null role or text is empty; a null turn comes first; equal turns are
     ordered by role, then text; rows with a null conv_id form one conversation; a system turn is
     the first row of its conversation with the role ``system``, others are ordinary turns;
-    repeated rows are turns of their own.  An empty table gives no windows.  Extra columns are left
-    out.
+    repeated rows are turns of their own; a text longer than a window is a window's last turn, whole,
+    and exceeds its budget.  An empty table gives no windows.  Extra columns are left out.
     """
     stride = budget - history - system
     if stride < 1 or not 0 <= history <= stride:

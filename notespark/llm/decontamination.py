@@ -216,6 +216,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns."""
+    """The rows of ``docs`` that leak no item, with all their columns, whatever their names.
+
+    Nulls and other cases: a null or empty text leaks nothing and stays; rows that share a doc_id, null
+    among them, go together if one of them leaks; repeated rows stay or go each; whole texts count, however
+    long; an empty table of documents gives none, an empty one of items takes none away.
+    """
     leaked = written(find_leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("_leaked")).distinct())
     return docs.join(bounded(leaked), docs["doc_id"].eqNullSafe(leaked["_leaked"]), "left_anti")

@@ -220,7 +220,8 @@ def find_secrets(docs: DataFrame, chains: Chains) -> DataFrame:
 def redact_secrets(docs: DataFrame, chains: Chains, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span in ``text`` replaced by ``mark``; overlapping spans by one.
 
-    Other columns stay as they are, and so does a null text.
+    Other columns stay as they are, whatever their names, and so does a null text; rows without a doc_id and
+    repeated rows are rows like others; texts are searched whole, however long; an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(chains)
     names, at = docs.columns, docs.columns.index("text")
