@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,29 +47,44 @@ def parents_by_title(chunks: DataFrame) -> DataFrame:
     bytes) and either a part of the title by words, or has a word of four bytes or more of which a
     word of the title is the start, or the other way round; null without one.
 
-    Chunks meet by words they share, or by words that start alike, never all with all: a title that
-    is a part of another shares its first word with it, and a word that starts another one shares
-    its own characters with it, so a child's words are looked up with all their starts.
+    Titles meet by keys, never all with all.  Of a key only the first chunk below each length matters: keys'
+    chunks are brought down to one a length, and a running minimum over lengths answers for all titles at once,
+    so the work follows the rows however many of them share a key.  A part with a word of four bytes meets
+    by that word; one of short words only is looked up by its first word, distinct sets of words with each other.
     """
-    # Kept, since it is read from both sides; a title without words is a part of any longer title.
-    rows = kept(chunks.select("draft_id", "chunk_index", F.octet_length("title").alias("n"), F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != "")).alias("w")))
-    parent = rows.select(F.col("draft_id").alias("_draft"), F.col("chunk_index").alias("parent_index"), F.col("n").alias("_n"), F.col("w").alias("_w"))
+    words = F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != ""))
+    rows = chunks.select("draft_id", "chunk_index", F.octet_length("title").alias("n"), F.array_sort(words).alias("w"))
+    # Kept, since it is read several times; equal titles of a draft are one row.
+    titles = kept(rows.where("draft_id IS NOT NULL AND n IS NOT NULL").groupBy("draft_id", "n", "w").agg(F.min("chunk_index").alias("first")))
     starts = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.substr(w, F.lit(1), i))
-    all_starts = lambda words: F.array_distinct(F.flatten(F.transform(words, starts)))
-    long = F.filter("_w", lambda w: F.octet_length(w) >= 4)
-
-    shorter = (F.col("draft_id") == F.col("_draft")) & (F.col("n") > F.col("_n"))
-    by_first = rows.withColumn("_key", F.explode("w")).join(parent.withColumn("_first", F.col("_w")[0]), shorter & (F.col("_key") == F.col("_first")))
-    by_first = by_first.where(F.size(F.array_except("_w", "w")) == 0)
-    whole = parent.withColumn("_key", F.explode(long))
-    longer = rows.withColumn("_start", F.explode(all_starts(F.col("w")))).join(whole, shorter & (F.col("_start") == F.col("_key")))
-    begun = parent.withColumn("_start", F.explode(all_starts(long)))
-    other = rows.withColumn("_key", F.explode("w")).join(begun, shorter & (F.col("_start") == F.col("_key")))
-    wordless = rows.join(parent.where(F.size("_w") == 0), shorter)
-    ids = ["draft_id", "chunk_index", "parent_index"]
-    found = by_first.select(*ids).union(longer.select(*ids)).union(other.select(*ids)).union(wordless.select(*ids))
-    first = found.groupBy("draft_id", "chunk_index").agg(F.min("parent_index").alias("parent_index"))
-    return chunks.select("draft_id", "chunk_index").join(first, ["draft_id", "chunk_index"], "left")
+    all_starts = lambda ws: F.array_distinct(F.flatten(F.transform(ws, starts)))
+    long = F.filter("w", lambda w: F.octet_length(w) >= 4)
+    short = F.size(long) == 0
+    none, empty = F.lit(None).cast("long"), F.size("w") == 0
+
+    # what parents are found by, and what titles look for: long words by starts, starts of long words, no words
+    by = lambda rows, kind, keys, first: rows.select("draft_id", "n", F.lit(kind).alias("kind"), F.explode(keys).alias("key"), first.cast("long").alias("first"))
+    nothing, own = F.array(F.lit("")), F.col("first")
+    ends = [by(titles, 0, long, own), by(titles, 1, all_starts(long), own), by(titles.where(empty), 2, nothing, own)]
+    asks = [by(titles, 0, all_starts(F.col("w")), none), by(titles, 1, F.col("w"), none), by(titles, 2, nothing, none)]
+    lengths = reduce(DataFrame.unionByName, ends + asks).groupBy("draft_id", "kind", "key", "n").agg(F.min("first").alias("first"))
+    below = Window.partitionBy("draft_id", "kind", "key").orderBy("n").rangeBetween(Window.unboundedPreceding, -1)
+    before = kept(lengths.select("draft_id", "kind", "key", "n", F.min("first").over(below).alias("parent")).where("parent IS NOT NULL"))
+    named = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    keys = F.concat(named(0, all_starts(F.col("w"))), named(1, F.col("w")), named(2, nothing))
+    asked = titles.select("draft_id", "n", "w", F.explode(keys).alias("k")).select("draft_id", "n", "w", "k.kind", "k.key")
+    found = asked.join(before, ["draft_id", "kind", "key", "n"]).select("draft_id", "n", "w", "parent")
+
+    sets = titles.groupBy("draft_id", "w").agg(F.array_sort(F.collect_list(F.struct("n", "first"))).alias("ns"))
+    parts = titles.where(short & ~empty).groupBy("draft_id", "w").agg(F.collect_list(F.struct("n", "first")).alias("parts"))
+    parts = parts.select(F.col("draft_id").alias("_draft"), F.col("w").alias("_w"), "parts")
+    inside = sets.withColumn("_key", F.explode("w")).join(parts, (F.col("draft_id") == F.col("_draft")) & (F.col("_key") == F.col("_w")[0]))
+    inside = inside.where(F.size(F.array_except("_w", "w")) == 0).select("draft_id", "w", "parts", F.explode("ns.n").alias("n"))
+    least = F.array_min(F.transform(F.filter("parts", lambda x: x["n"] < F.col("n")), lambda x: x["first"]))
+    found = found.unionByName(inside.select("draft_id", "n", "w", least.cast("long").alias("parent")))
+    kind = chunks.schema["chunk_index"].dataType
+    first = kept(found.groupBy("draft_id", "n", "w").agg(F.min("parent").cast(kind).alias("parent_index")).where("parent_index IS NOT NULL"))
+    return rows.join(first, ["draft_id", "n", "w"], "left").select("draft_id", "chunk_index", "parent_index")
 
 
 def creation_levels(plan: DataFrame) -> DataFrame:
