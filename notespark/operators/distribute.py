@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import distribution, parsed_json
-from ..tables import kept
+from ..tables import bounded, kept
 from . import store
 from .hierarchy import depths, roots
 from .tags import associated, resolved
@@ -35,10 +35,10 @@ def resolve_merges(plan: DataFrame) -> DataFrame:
     """``chunk_index`` and ``end`` of the chunks of a plan (``chunk_index``, ``merge_into``) that merge into
     another one of it: the chunk that the chain of merges ends in, null in or behind a circle."""
     known = plan.select(F.col("chunk_index").alias("_known"))
-    edges = plan.select("chunk_index", "merge_into").join(known, F.col("merge_into") == F.col("_known"), "left")
+    edges = plan.select("chunk_index", "merge_into").join(bounded(known), F.col("merge_into") == F.col("_known"), "left")
     into = F.when(F.col("_known") != F.col("chunk_index"), F.col("_known"))
     edges = kept(edges.select(F.col("chunk_index").alias("id"), into.alias("parent_id")))
-    ends = roots(edges).join(edges.where("parent_id IS NOT NULL").select("id"), "id")
+    ends = roots(edges).join(bounded(edges.where("parent_id IS NOT NULL").select("id")), "id")
     return ends.select(F.col("id").alias("chunk_index"), F.col("root").alias("end"))
 
 
@@ -92,7 +92,7 @@ def creation_levels(plan: DataFrame) -> DataFrame:
     parent isn't in the plan, go to the root."""
     rows = plan.select("chunk_index", "parent_index")
     made = depths(rows.select(F.col("chunk_index").alias("id"), F.col("parent_index").alias("parent_id")))
-    joined = rows.select("chunk_index").join(made.withColumnRenamed("id", "chunk_index"), "chunk_index", "left")
+    joined = rows.select("chunk_index").join(bounded(made.withColumnRenamed("id", "chunk_index")), "chunk_index", "left")
     return joined.select("chunk_index", F.coalesce("depth", F.lit(0)).cast("long").alias("level"))
 
 

@@ -32,7 +32,7 @@ def tree_paths(nodes: DataFrame, orphans: bool = False) -> DataFrame:
     rows = kept(nodes_.select("id", "parent_id", "name", up.alias("_up"), F.col("name").alias("path"), F.array("id").alias("ancestors")))
     while not (open_ := rows.where("_up IS NOT NULL")).isEmpty():
         above = rows.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("path").alias("_path"), F.col("ancestors").alias("_above"))
-        joined = open_.join(above, F.col("_up") == F.col("_id")).where(~F.arrays_overlap("_above", "ancestors"))
+        joined = open_.join(bounded(above), F.col("_up") == F.col("_id")).where(~F.arrays_overlap("_above", "ancestors"))
         longer = joined.select("id", "parent_id", "name", F.col("_next").alias("_up"), F.concat_ws("/", "_path", "path").alias("path"), F.concat("_above", "ancestors").alias("ancestors"))
         rows = kept(rows.where("_up IS NULL").unionByName(longer))
     return rows.select("id", "parent_id", "name", "path", (F.size("ancestors") - 1).cast("long").alias("depth"), "ancestors")
@@ -47,7 +47,7 @@ def depths(nodes: DataFrame) -> DataFrame:
         if (open_ := rows.where("_up IS NOT NULL")).isEmpty():
             break
         above = rows.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("depth").alias("_depth"))
-        longer = open_.join(above, F.col("_up") == F.col("_id")).select("id", F.col("_next").alias("_up"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        longer = open_.join(bounded(above), F.col("_up") == F.col("_id")).select("id", F.col("_next").alias("_up"), (F.col("depth") + F.col("_depth")).alias("depth"))
         rows = kept(rows.where("_up IS NULL").unionByName(longer))
     return rows.where("_up IS NULL").select("id", "depth")
 
@@ -60,7 +60,7 @@ def roots(nodes: DataFrame) -> DataFrame:
         if (open_ := rows.where("_up IS NOT NULL")).isEmpty():
             break
         above = rows.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("root").alias("_root"))
-        longer = open_.join(above, F.col("_up") == F.col("_id"), "left").select("id", F.col("_next").alias("_up"), F.col("_root").alias("root"))
+        longer = open_.join(bounded(above), F.col("_up") == F.col("_id"), "left").select("id", F.col("_next").alias("_up"), F.col("_root").alias("root"))
         rows = kept(rows.where("_up IS NULL").unionByName(longer))
     return rows.select("id", F.when(F.col("_up").isNull(), F.col("root")).alias("root"))
 
@@ -74,7 +74,7 @@ def below(rows: DataFrame, key: str, parent: str, node) -> DataFrame:
         if (open_ := found.where("_up IS NOT NULL")).isEmpty():
             break
         above = found.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("_hit").alias("_above"))
-        longer = open_.join(above, F.col("_up") == F.col("_id")).select("id", F.col("_next").alias("_up"), F.col("_above").alias("_hit"))
+        longer = open_.join(bounded(above), F.col("_up") == F.col("_id")).select("id", F.col("_next").alias("_up"), F.col("_above").alias("_hit"))
         found = kept(found.where("_up IS NULL").unionByName(longer))
     return found.where("_up IS NULL AND _hit").select("id")
 
