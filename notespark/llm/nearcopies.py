@@ -1,10 +1,12 @@
 """Near copies at a similarity of word shingles.
 
-Rows with the same set of shingles are one class.  MinHash bands propose pairs of classes (two at a
-similarity of 0.8 share no band six times in 100,000), one byte of each sketch value filters them
-``MARGIN`` below the similarity (which a pair at 0.8 misses about four times in 100,000), and the sets of shingles decide.
+Rows with the same set of shingles are one class.  SimHash proposes the classes whose fingerprints links of
+at most two bits bring together, as ``simhash`` finds them.  At a similarity of 0.8 about ten bits differ, so
+MinHash bands propose further pairs (two at 0.8 share no band six times in 100,000).  One byte of each sketch
+value filters both ``MARGIN`` below the similarity (which a pair at 0.8 misses about four times in 100,000),
+and the sets of shingles decide.
 
-Large buckets of a band aren't paired up as rows.  First their members are compared with the smallest
+What SimHash links is a bucket like those of the bands.  Large buckets aren't paired up as rows.  First their members are compared with the smallest
 one, and what that links makes components.  A bucket whose other members are of several components is
 then compared in full, but for pairs of one component: it is dealt out in blocks, every two of which
 meet in a group of at most about ``2 * BLOCK`` rows.  Members that are linked already still take part,
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, bounded, slices, text_slices, unused, utf8, word_hashes, written
 from .components import connected_components
 from .decontamination import shingle_hashes
+from .simhash import fingerprint, fingerprint_links
 
 BANDS, ROWS_A_BAND = 32, 6
+#: Words of a shingle of the SimHash fingerprints.
+PRINTED = 3
 #: A pair's shingles are compared if the share of equal sketch bytes is this much below the similarity at most.
 MARGIN = 0.12
 #: Members of a bucket that a block holds, about, and pairs that share one copy of their centre.
@@ -62,19 +67,22 @@ def _row_hash() -> Column:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id``, ``row`` (``_row_hash``), the class of the row's shingles and the bytes of its sketch."""
+    """``doc_id``, ``row`` (``_row_hash``), the class of the row's shingles, the bytes of its sketch, and ``fp``,
+    the text's SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 2):
+            texts = utf8(part.column(2))
             classes, found = [], []
-            for hashes in _shingle_sets(utf8(part.column(2)), shingle):
+            for hashes in _shingle_sets(texts, shingle):
                 classes.append(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
                 found.append(sketch(hashes).tobytes())
-            columns = [part.column(0), part.column(1), pa.array(classes, pa.int64()), pa.array(found, pa.binary())]
-            yield pa.record_batch(columns, names=["doc_id", "row", "class", "sketch"])
+            prints = pa.array([fingerprint(text, PRINTED) for text in texts], pa.int64())
+            columns = [part.column(0), part.column(1), pa.array(classes, pa.int64()), pa.array(found, pa.binary()), prints]
+            yield pa.record_batch(columns, names=["doc_id", "row", "class", "sketch", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _row_hash().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row long, class long, sketch binary")
+    return docs.select("doc_id", _row_hash().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row long, class long, sketch binary, fp long")
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -208,11 +216,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return others.unionByName(centres).repartition(*key).sortWithinPartitions(*key, "part").mapInArrow(run, "u long, v long")
 
 
+def _printed(prints: DataFrame, tables: Scratch) -> DataFrame:
+    """The buckets of SimHash (``band``, ``key``, ``class``), whose band comes after the others: fingerprints
+    that links join up are one bucket.  A class is in that of each of its rows' fingerprints."""
+    own = tables.written(prints.select("class", "fp").distinct())
+    values = tables.written(own.select("fp").distinct())
+    roots = tables.written(connected_components(fingerprint_links(values)))
+    placed = own.join(bounded(roots), F.col("fp") == F.col("node"), "left")
+    return tables.written(placed.select(F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("key"), "class").distinct())
+
+
 class _Classes:
-    """Classes of equal shingle sets (``class``, the ``row`` that stands for it, ``sketch``) and what links them."""
+    """Classes of equal shingle sets (``class``, the ``row`` that stands for it, ``sketch``), the buckets that
+    SimHash has of them, and what links them."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, tables: Scratch, shingle: int, similarity: float):
-        self.docs, self.classes, self.tables, self.shingle, self.similarity = docs, classes, tables, shingle, similarity
+    def __init__(self, docs: DataFrame, classes: DataFrame, printed: DataFrame, tables: Scratch, shingle: int, similarity: float):
+        self.docs, self.classes, self.printed, self.tables = docs, classes, printed, tables
+        self.shingle, self.similarity = shingle, similarity
 
     def _of(self, ids: DataFrame) -> DataFrame:
         """``_class``, ``row``, ``sketch`` of the classes in ``ids`` (``_class``, distinct)."""
@@ -230,7 +250,7 @@ class _Classes:
         """Members of buckets in company (``band``, ``key``, ``n``, ``class``, ``centre``, without the
         centre), and the centres."""
         keys = F.array([F.xxhash64(F.substring("sketch", 1 + ROWS_A_BAND * b, ROWS_A_BAND)) for b in range(BANDS)])
-        members = self.classes.select(F.posexplode(keys).alias("band", "key"), "class")
+        members = self.classes.select(F.posexplode(keys).alias("band", "key"), "class").unionByName(self.printed)
         centres = members.groupBy("band", "key").agg(F.min("class").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
         centres = self.tables.written(centres.select(F.col("band").alias("_band"), F.col("key").alias("_key"), "centre", "n"))
         met = members.join(bounded(centres), (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")))
@@ -271,7 +291,7 @@ def _placed(docs: DataFrame, tables: Scratch, shingle: int, similarity: float) -
     """``doc_id``, ``row``, ``class`` of all rows, and ``_class`` with the ``root`` of its component."""
     prints = tables.written(_sketches(docs, shingle))
     classes = tables.written(prints.groupBy("class").agg(F.min("row").alias("row"), F.min("sketch").alias("sketch")))
-    roots = tables.written(_Classes(docs, classes, tables, shingle, similarity).roots())
+    roots = tables.written(_Classes(docs, classes, _printed(prints, tables), tables, shingle, similarity).roots())
     placed = classes.select("class").join(bounded(roots), F.col("class") == F.col("node"), "left")
     return prints.select("doc_id", "row", "class"), tables.written(placed.select(F.col("class").alias("_class"), F.coalesce("root", "class").alias("root")))
 

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline as p
 from notespark.llm import nearcopies
 from notespark.llm.nearcopies import near_copies, one_of_each
+from notespark.llm.simhash import fingerprint
 
 
 def _near(rng, words, edits):
@@ -168,3 +169,14 @@ def test_long_words_that_a_polynomial_confuses(spark):
     texts = [" ".join([*(f"w{i}" for i in range(6)), long, *(f"v{i}" for i in range(6))]) for long in pair()]
     docs = spark.createDataFrame([*enumerate(texts), (2, texts[0])], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in near_copies(docs).collect()) == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_simhash_proposes_what_the_bands_miss(spark):
+    block = "w885440 w403958 w794772 w933488 w441001 w42450 w271493 w536110 w509532 w424604 w962838 w821872 w870163 w318046 w499748 w375441".split()
+    texts = [block * 40 + tail.split() for tail in ("t823182 t700609", "t979112 t50600", "a b c d e f g h i", "j k l m n o p q r")]
+    prints = [fingerprint(" ".join(t).encode(), 3) for t in texts]
+    sketches = [nearcopies.sketch(next(nearcopies._shingle_sets([" ".join(t).encode()], 5))) for t in texts[:2]]
+    bands = [s.reshape(nearcopies.BANDS, -1) for s in sketches]
+    assert not (bands[0] == bands[1]).all(axis=1).any()  # a similarity of 0.8, and no band in common
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in zip(prints[:1], prints[1:2]))
+    assert _components(spark, texts) == _brute(texts) == [0, 0, 2, 3]  # the sets decide on what fingerprints link
