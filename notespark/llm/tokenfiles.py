@@ -12,6 +12,7 @@ takes one number a part, not a sort or a window over all rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -31,9 +32,15 @@ from ._shared import _shared_folder, bounded, text_slices, utf8, written
 STRIPE_BYTES, GROUP_ROWS, FALSE_HITS = 16 << 20, 1000, 0.01
 #: Bytes of words that a worker remembers the ids of, of a piece of a long text, and words encoded at a time.
 CACHE_BYTES, PIECE, WORDS = 12 << 20, 1 << 20, 1 << 12
+#: Words of plain letters that are encoded as one text.
+JOINED = 64
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_BEFORE_MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: Small letters of Latin-1 only: a word of them is normalized already, and one piece.
+_LETTERS = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: 1: small letters and digits, 2: marks that begin a new piece behind these (``'`` may not, ``<`` begins special tokens).
+_KINDS = bytes(1 if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 2 if chr(c) in '!"#$%&()*+,-./:;=>?@[\\]^_`{|}~' else 0 for c in range(256))
 
 
 class WordEncoder:
@@ -49,6 +56,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer)
+        self.letters = _of_letters(tokenizer)
+        if self.letters:
+            vocabulary, suffix = self.letters.get_vocab(), self.letters.model.end_of_word_suffix
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -58,17 +70,31 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         if self.bytes > CACHE_BYTES:
             self._forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.rows]
-        for begin in range(0, len(new), WORDS):
-            some = new[begin : begin + WORDS]
-            found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            n = len(self.rows)
-            ends = self.ends[n] + np.cumsum([len(x) for x in found])
-            self.ends, self.ids = _room(self.ends, n + len(some) + 1), _room(self.ids, int(ends[-1]))
-            self.ids[self.ends[n] : ends[-1]] = [x for ids in found for x in ids]
-            self.ends[n + 1 : n + 1 + len(some)] = ends
-            self.rows.update(zip(some, range(n, n + len(some))))
-            self.bytes += sum(map(len, some))
+        plain, other = [], []
+        for w in dict.fromkeys(words):
+            if w not in self.rows:
+                (plain if self.letters and _LETTERS.fullmatch(w) else other).append(w)
+        for new, encoded in ((plain, self._of_plain), (other, self._of_any)):
+            for begin in range(0, len(new), WORDS):
+                some = new[begin : begin + WORDS]
+                ids, sizes = encoded(some)
+                n = len(self.rows)
+                ends = self.ends[n] + np.cumsum(sizes)
+                self.ends, self.ids = _room(self.ends, n + len(some) + 1), _room(self.ids, int(ends[-1]))
+                self.ids[self.ends[n] : ends[-1]] = ids
+                self.ends[n + 1 : n + 1 + len(some)] = ends
+                self.rows.update(zip(some, range(n, n + len(some))))
+                self.bytes += sum(map(len, some))
+
+    def _of_any(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return [x for ids in found for x in ids], [len(x) for x in found]
+
+    def _of_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of plain letters go as texts of several; an id that ends a word tells them apart."""
+        texts = [b" ".join(words[i : i + JOINED]).decode() for i in range(0, len(words), JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)])
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and the number of ids of each."""
@@ -124,10 +150,32 @@ def _room(values: np.ndarray, n: int) -> np.ndarray:
     return values if n <= len(values) else np.concatenate((values, np.zeros(max(n - len(values), len(values)), values.dtype)))
 
 
+def _of_letters(tokenizer: str):
+    """The tokenizer without the steps that leave a word of plain letters as it is; None if there may be others."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    parts = json.loads(tokenizer)
+    steps = [*(parts["normalizer"] or {}).get("normalizers", []), *(parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or not parts["model"].get("end_of_word_suffix"):
+        return None
+    _, space, _, split, level = steps
+    if (space["pattern"], split["pattern"], split["invert"], level["use_regex"], level["add_prefix_space"]) != ({"Regex": "\\s+"}, {"Regex": _PIECES}, True, False, False):
+        return None
+    found = Tokenizer.from_str(tokenizer)
+    found.normalizer = None
+    found.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return found
+
+
 def _plain(piece: bytes) -> bytes:
     """A text with fewer different words and the same ids: these tokenizers ignore case, and begin a new piece
     between a letter or digit and a mark.  Only their special tokens, which begin with ``<|``, mind case."""
-    return piece if b"<|" in piece else _BEFORE_MARK.sub(b" ", piece.lower())
+    if b"<|" in piece:
+        return piece
+    small = piece.lower()
+    kinds = np.frombuffer(small.translate(_KINDS), np.uint8)
+    at = np.flatnonzero((kinds[:-1] == 1) & (kinds[1:] == 2)) + 1
+    return np.insert(np.frombuffer(small, np.uint8), at, 32).tobytes() if len(at) else small
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:

@@ -52,6 +52,21 @@ def test_words_one_by_one_are_the_whole_text(library, monkeypatch):
         assert counts.tolist() == [len(_ids(library, t)) for t in some]
 
 
+def test_words_of_plain_letters_take_a_shorter_way(library, monkeypatch):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzßàéèêçñöüøÿ"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(2500)]
+    words += ["".join(rng.choices(letters + "ABÉÜ÷×12'#$%&()*+-/=>@[]^_`{|}~<.,´ǆſªµ\u0338\u0301", k=rng.randint(1, 6))) for _ in range(2500)]
+    rng.shuffle(words)
+    encoder, whole = WordEncoder(JSON), []
+    encode = encoder._of_any
+    monkeypatch.setattr(encoder, "_of_any", lambda some: whole.extend(some) or encode(some))
+    texts = [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)]
+    ids, _ = encoder.texts([t.encode() for t in texts], 2)
+    assert ids.tolist() == [x for t in texts for x in _ids(library, t)]
+    assert not any(w.decode().isalpha() and w.isascii() for w in whole) and any(w.decode().isalpha() for w in whole)
+
+
 def test_equals_the_library(spark, sf, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     got = sorted(tuple(r) for r in write_and_verify(docs, JSON, 2).collect())
